@@ -10,6 +10,7 @@ from fundlens.functions.geo import haversine_km
 from fundlens.functions.numbers import round_even
 from fundlens.operators.components import connected_components
 from fundlens.operators.pairing import salted_join
+from fundlens.session import materialise
 from fundlens.schemas import DEFAULT_CENTROID, DISTRICT_CENTROIDS
 
 # Urgency patterns, category patterns in order of precedence, allowed categories.
@@ -71,8 +72,8 @@ def _any(text: Column, words: tuple[str, ...]) -> Column:
 
 def keyword_urgency(text: Column) -> Column:
     return (
-        F.when(text.rlike("(?i)" + HIGH_URGENCY), "HIGH")
-        .when(text.rlike("(?i)" + MEDIUM_URGENCY), "MEDIUM")
+        F.when(text.rlike("(?iU)" + HIGH_URGENCY), "HIGH")
+        .when(text.rlike("(?iU)" + MEDIUM_URGENCY), "MEDIUM")
         .otherwise("LOW")
     )
 
@@ -81,7 +82,7 @@ def keyword_category(text: Column, categories: tuple[str, ...] = DEFAULT_CATEGOR
     out = F.lit("Other")
     for name, pattern in reversed(CATEGORY_PATTERNS.items()):
         if name in categories:
-            out = F.when(text.rlike("(?i)" + pattern), name).otherwise(out)
+            out = F.when(text.rlike("(?iU)" + pattern), name).otherwise(out)
     return out
 
 
@@ -269,7 +270,9 @@ def cosine_pairs(vectors: DataFrame, threshold: float = 0.8) -> DataFrame:
     shared token must lie where the rest of either vector still has norm ``threshold``. Only those
     leading tokens are joined; the similarity of the proposed pairs is then summed in full.
     """
-    leading = leading_tokens(vectors, threshold)
+    # Both tables are read several times below.
+    vectors = materialise(vectors, "vectors")
+    leading = materialise(leading_tokens(vectors, threshold), "leading-tokens")
     a = leading.select("token", F.col("rep").alias("rep_a"), F.col("rest").alias("rest_a"))
     b = leading.select("token", F.col("rep").alias("rep_b"), F.col("rest").alias("rest_b"))
     # At the first shared token the whole product is bounded by the two rests.

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fundlens.operators.pairing import salted_join
+from fundlens.session import materialise
 
 
 def _ratio_udf(threshold: float):
@@ -35,7 +36,8 @@ def _ratio_udf(threshold: float):
                 out.append(matcher.ratio())
         return pd.Series(out, dtype="float64")
 
-    return ratio
+    # Keeps the optimiser from moving the comparison ahead of the cheaper filters.
+    return ratio.asNondeterministic()
 
 
 def _grams(name: Column, size: int) -> Column:
@@ -53,7 +55,7 @@ def _grams(name: Column, size: int) -> Column:
     )
 
 
-def _index(names: DataFrame, threshold: float) -> DataFrame:
+def _index(grams: DataFrame, threshold: float) -> DataFrame:
     """(name, token, keep) where ``keep`` is how many of the rarest tokens to index per family.
 
     Let ``la`` be the length of a name. A partner of length ``lb`` has ``lb >= la * t / (2 - t)``
@@ -71,20 +73,31 @@ def _index(names: DataFrame, threshold: float) -> DataFrame:
     near_short = short * (2 - t) / t
     families = F.array(
         F.struct(
-            F.when(shared_pairs >= 1, _grams(F.col("name"), 2)).alias("tokens"),
+            F.when(shared_pairs >= 1, F.col("pairs")).alias("tokens"),
             (la - 1 - shared_pairs + 1).alias("keep"),
         ),
         F.struct(
-            F.when(la <= near_short, _grams(F.col("name"), 1)).alias("tokens"),
+            F.when(la <= near_short, F.col("chars")).alias("tokens"),
             (la - shared_chars + 1).alias("keep"),
         ),
     )
     return (
-        names.select("name", F.posexplode(families).alias("family", "f"))
+        grams.select("name", F.posexplode(families).alias("family", "f"))
         .select("name", "family", F.col("f.keep").alias("keep"), F.explode("f.tokens").alias("token"))
     )
 
 
+def _gram_table(names: DataFrame) -> DataFrame:
+    """Distinct names with their character pairs and characters, stored: several steps read it."""
+    distinct = names.where(F.length("name") > 0).select("name").distinct()
+    return materialise(
+        distinct.select(
+            "name", _grams(F.col("name"), 2).alias("pairs"), _grams(F.col("name"), 1).alias("chars")
+        ),
+        "name-grams",
+    )
+
+
 def _prefix(index: DataFrame, frequency: DataFrame) -> DataFrame:
     rarest = W.partitionBy("name", "family").orderBy("n_names", "token")
     return (
@@ -104,21 +117,31 @@ def similar_names(left: DataFrame, right: DataFrame | None, threshold: float) ->
     """
     if not 0.5 < threshold <= 1:
         raise ValueError("threshold must lie in (0.5, 1]")
-    mine = left.where(F.length("name") > 0).select("name").distinct()
-    other = mine if right is None else right.where(F.length("name") > 0).select("name").distinct()
-    index_l = _index(mine, threshold)
-    index_r = index_l if right is None else _index(other, threshold)
+    grams_l = _gram_table(left)
+    grams_r = grams_l if right is None else _gram_table(right)
+    index_l = _index(grams_l, threshold)
+    index_r = index_l if right is None else _index(grams_r, threshold)
     # One token order for both sides: rarity over everything that is indexed.
     both = index_l if right is None else index_l.unionByName(index_r)
     frequency = both.groupBy("token").agg(F.count(F.lit(1)).alias("n_names"))
-    pl = _prefix(index_l, frequency).withColumnRenamed("name", "name_a")
-    pr = _prefix(index_r, frequency).withColumnRenamed("name", "name_b")
+    # Each side is read twice, for the block sizes and for the join.
+    prefix_l = materialise(_prefix(index_l, frequency), "name-index")
+    prefix_r = prefix_l if right is None else materialise(_prefix(index_r, frequency), "name-index")
+    pl = prefix_l.withColumnRenamed("name", "name_a")
+    pr = prefix_r.withColumnRenamed("name", "name_b")
     la, lb = F.length("name_a"), F.length("name_b")
     fits = F.least(la, lb) >= F.greatest(la, lb) * (threshold / (2 - threshold)) - 1e-9
     if right is None:
         fits = fits & (F.col("name_a") < F.col("name_b"))
     candidates = salted_join(pl, pr, ["token"], fits).select("name_a", "name_b").distinct()
+    grams_a = grams_l.toDF("name_a", "pairs_a", "chars_a")
+    grams_b = grams_r.toDF("name_b", "pairs_b", "chars_b")
+    slack = 2 * F.floor((1 - threshold) * (la + lb) + 1e-9)
+    likely = (
+        F.size(F.array_intersect("pairs_a", "pairs_b")) >= F.greatest(la, lb) - 1 - slack
+    ) & (F.size(F.array_intersect("chars_a", "chars_b")) * 2 >= (la + lb) * threshold - 1e-9)
+    counted = candidates.join(grams_a, "name_a").join(grams_b, "name_b").where(likely)
     ratio = _ratio_udf(threshold)
-    return candidates.withColumn("ratio", ratio("name_a", "name_b")).where(
+    return counted.select("name_a", "name_b", ratio("name_a", "name_b").alias("ratio")).where(
         F.col("ratio") >= threshold
     )

@@ -29,7 +29,7 @@ def salted_join(
     """
 
     def block_counts(df: DataFrame, name: str) -> DataFrame:
-        size = F.ceil(F.count(F.lit(1)) / F.lit(rows_per_block)).cast("int")
+        size = F.ceil(F.count(F.lit(1)) / F.lit(rows_per_block)).cast("bigint")
         return df.groupBy(*keys).agg(size.alias(name))
 
     blocks = block_counts(left, "_nl").join(block_counts(right, "_nr"), keys)
@@ -37,18 +37,18 @@ def salted_join(
     own_r = right_tag if right_tag is not None else F.xxhash64(*right.columns)
 
     def every(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
 
     dealt_left = (
         left.join(blocks, keys)
-        .withColumn("_bl", F.pmod(own_l, F.col("_nl").cast("bigint")))
-        .withColumn("_br", every("_nr").cast("bigint"))
+        .withColumn("_bl", F.pmod(own_l, F.col("_nl")))
+        .withColumn("_br", every("_nr"))
         .drop("_nl", "_nr")
     )
     dealt_right = (
         right.join(blocks, keys)
-        .withColumn("_br", F.pmod(own_r, F.col("_nr").cast("bigint")))
-        .withColumn("_bl", every("_nl").cast("bigint"))
+        .withColumn("_br", F.pmod(own_r, F.col("_nr")))
+        .withColumn("_bl", every("_nl"))
         .drop("_nl", "_nr")
     )
     joined = dealt_left.join(dealt_right, [*keys, "_bl", "_br"]).drop("_bl", "_br")
