@@ -45,7 +45,7 @@ def ingest_frame(
     rows = hz.normalise_rows(hz.harmonise_columns(raw), references)
     staged = materialise(va.validate_rows(rows, as_of, keep=(ROW_ID,)), f"staged-{task_id}")
     bucket, order = row_order()
-    indexed = sequential_number(staged.where(F.size("errors") > 0).select(ROW_ID), bucket, order, "_n")
+    indexed = sequential_number(staged.select(ROW_ID), bucket, order, "_n")
     valid = st.assign_vendor_ids(va.valid_rows(staged), bucket, order)
     rejects = va.quarantined_rows(
         staged.join(indexed.select(ROW_ID, "_n"), ROW_ID), task_id, as_of, F.col("_n") - 1
