@@ -219,11 +219,9 @@ def assess_feedback(accepted: DataFrame) -> DataFrame:
     )
 
 
-def text_tokens(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
-    """All lower-case word tokens of two or more characters, without stop words."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    stops = F.array(*map(F.lit, stop_words))
-    return F.filter(tokens, lambda t: ~F.array_contains(stops, t))
+def text_tokens(text: Column) -> Column:
+    """All lower-case word tokens of two or more characters."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def distinct_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -240,7 +238,9 @@ def tfidf(texts: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFra
 
     ``idf = ln((1 + n) / (1 + df)) + 1`` where copies count in both ``n`` and ``df``.
     """
-    tokens = texts.select("rep", "copies", F.explode(text_tokens(F.col("text"), stop_words)).alias("token"))
+    tokens = texts.select("rep", "copies", F.explode(text_tokens(F.col("text"))).alias("token")).where(
+        ~F.col("token").isin(*stop_words)
+    )
     tf = tokens.groupBy("rep", "copies", "token").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("token").agg(F.sum("copies").alias("df"))
     n = texts.agg(F.sum("copies").alias("n"))
@@ -254,12 +254,12 @@ def tfidf(texts: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFra
 
 
 def leading_tokens(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(rep, token, rest): the rare tokens from which on the vector's norm is at least ``threshold``."""
+    """(rep, token, df, w, rest): the rare tokens from which on the norm is at least ``threshold``."""
     tail = W.partitionBy("rep").orderBy("df", "token").rowsBetween(W.currentRow, W.unboundedFollowing)
     return (
         vectors.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(tail)))
         .where(F.col("rest") >= threshold - 1e-9)
-        .select("rep", "token", "rest")
+        .select("rep", "token", "df", "w", "rest")
     )
 
 
@@ -268,18 +268,46 @@ def cosine_pairs(vectors: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Exact prefix filter: with tokens ordered from rare to frequent, a qualifying pair's rarest
     shared token must lie where the rest of either vector still has norm ``threshold``. Only those
-    leading tokens are joined; the similarity of the proposed pairs is then summed in full.
+    leading tokens are joined. Their products add up to the similarity as far as the shorter of the
+    two leading parts reaches; beyond it the product of the two remaining norms is an upper bound.
+    Pairs whose sum and bound stay below the threshold are dropped, the others summed in full.
     """
     # Both tables are read several times below.
     vectors = materialise(vectors, "vectors")
     leading = materialise(leading_tokens(vectors, threshold), "leading-tokens")
-    a = leading.select("token", F.col("rep").alias("rep_a"), F.col("rest").alias("rest_a"))
-    b = leading.select("token", F.col("rep").alias("rep_b"), F.col("rest").alias("rest_b"))
-    # At the first shared token the whole product is bounded by the two rests.
-    possible = (F.col("rep_a") < F.col("rep_b")) & (
-        F.col("rest_a") * F.col("rest_b") >= threshold - 1e-9
+    a = leading.select("token", F.col("rep").alias("rep_a"), F.col("w").alias("w_a"))
+    b = leading.select("token", F.col("rep").alias("rep_b"), F.col("w").alias("w_b"))
+    met = (
+        salted_join(a, b, ["token"], F.col("rep_a") < F.col("rep_b"))
+        .groupBy("rep_a", "rep_b")
+        .agg(F.sum(F.col("w_a") * F.col("w_b")).alias("known"))
+    )
+    # One list per text, no longer than the text.
+    steps = F.array_sort(F.collect_list(F.struct("df", "token", "rest", "w")))
+    parts = leading.groupBy("rep").agg(steps.alias("steps"))
+    last = F.element_at("steps", -1)
+    beyond = F.sqrt(F.greatest(F.lit(0.0), last.rest * last.rest - last.w * last.w))
+    ends = parts.select(
+        "rep",
+        F.struct(last.df.alias("df"), last.token.alias("token")).alias("end"),
+        beyond.alias("beyond"),
+        F.transform("steps", lambda s: F.struct(s.df, s.token)).alias("at"),
+        F.transform("steps", lambda s: s.rest).alias("rests"),
+    )
+    bounded = met.join(ends.toDF("rep_a", "end_a", "beyond_a", "at_a", "rests_a"), "rep_a").join(
+        ends.toDF("rep_b", "end_b", "beyond_b", "at_b", "rests_b"), "rep_b"
+    )
+
+    def norm_after(at: str, rests: str, beyond_own: str, end: str) -> Column:
+        passed = F.size(F.filter(at, lambda p: p <= F.col(end)))
+        return F.coalesce(F.get(rests, passed), F.col(beyond_own))
+
+    bound = F.when(
+        F.col("end_a") <= F.col("end_b"), F.col("beyond_a") * norm_after("at_b", "rests_b", "beyond_b", "end_a")
+    ).otherwise(F.col("beyond_b") * norm_after("at_a", "rests_a", "beyond_a", "end_b"))
+    candidates = materialise(
+        bounded.where(F.col("known") + bound >= threshold - 1e-9).select("rep_a", "rep_b"), "similar-candidates"
     )
-    candidates = salted_join(a, b, ["token"], possible).select("rep_a", "rep_b").distinct()
     wa = vectors.select(F.col("rep").alias("rep_a"), "token", F.col("w").alias("w_a"))
     wb = vectors.select(F.col("rep").alias("rep_b"), "token", F.col("w").alias("w_b"))
     return (
@@ -305,14 +333,15 @@ def cluster_complaints(
     itself included, so its copies stay apart.
     """
     texts = distinct_texts(docs, doc_id, text)
-    has_words = F.size(text_tokens(F.col("text"), stop_words)) > 0
-    pairs = cosine_pairs(tfidf(texts, stop_words), threshold)
+    vectors = materialise(tfidf(texts, stop_words), "vectors")
+    pairs = cosine_pairs(vectors, threshold)
+    with_words = vectors.select("rep").distinct()
     parts = connected_components(pairs, "rep_a", "rep_b").select(
         F.col("node").alias("rep"), F.col("component").alias("cluster_id")
     )
     members = (
         docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-        .join(texts.where(has_words).select("rep", "text"), "text")
+        .join(texts.join(with_words, "rep", "left_semi").select("rep", "text"), "text")
         .join(parts, "rep", "left")
         .select("doc_id", F.coalesce("cluster_id", "rep").alias("cluster_id"))
     )
