@@ -254,12 +254,17 @@ def tfidf(texts: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFra
 
 
 def leading_tokens(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(rep, token, df, w, rest): the rare tokens from which on the norm is at least ``threshold``."""
+    """(rep, token, w, rest, after): the rare tokens from which on the norm is at least ``threshold``.
+
+    ``rest`` is the norm from the token on, ``after`` the norm behind it.
+    """
     tail = W.partitionBy("rep").orderBy("df", "token").rowsBetween(W.currentRow, W.unboundedFollowing)
+    square = F.col("w") * F.col("w")
     return (
-        vectors.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(tail)))
+        vectors.withColumn("_s", F.sum(square).over(tail))
+        .withColumn("rest", F.sqrt("_s"))
         .where(F.col("rest") >= threshold - 1e-9)
-        .select("rep", "token", "df", "w", "rest")
+        .select("rep", "token", "w", "rest", F.sqrt(F.greatest(F.lit(0.0), F.col("_s") - square)).alias("after"))
     )
 
 
@@ -269,44 +274,35 @@ def cosine_pairs(vectors: DataFrame, threshold: float = 0.8) -> DataFrame:
     Exact prefix filter: with tokens ordered from rare to frequent, a qualifying pair's rarest
     shared token must lie where the rest of either vector still has norm ``threshold``. Only those
     leading tokens are joined. Their products add up to the similarity as far as the shorter of the
-    two leading parts reaches; beyond it the product of the two remaining norms is an upper bound.
-    Pairs whose sum and bound stay below the threshold are dropped, the others summed in full.
+    two leading parts reaches. What is shared beyond it is at most the norm behind that vector's
+    leading part times the norm of the other behind the last token they met at. Pairs whose sum and
+    bound stay below the threshold are dropped, the others are summed in full.
     """
-    # Both tables are read several times below.
+    # Read again for the full sums.
     vectors = materialise(vectors, "vectors")
-    leading = materialise(leading_tokens(vectors, threshold), "leading-tokens")
-    a = leading.select("token", F.col("rep").alias("rep_a"), F.col("w").alias("w_a"))
-    b = leading.select("token", F.col("rep").alias("rep_b"), F.col("w").alias("w_b"))
+    leading = leading_tokens(vectors, threshold)
+    ends = leading.groupBy("rep").agg(F.min("after").alias("beyond"))
+    # Read twice, for the block sizes and for the join.
+    marked = materialise(leading.join(ends, "rep"), "leading-tokens")
+
+    def side(s: str) -> DataFrame:
+        return marked.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "w", "rest", "after", "beyond")])
+
     met = (
-        salted_join(a, b, ["token"], F.col("rep_a") < F.col("rep_b"))
+        salted_join(side("a"), side("b"), ["token"], F.col("rep_a") < F.col("rep_b"))
         .groupBy("rep_a", "rep_b")
-        .agg(F.sum(F.col("w_a") * F.col("w_b")).alias("known"))
-    )
-    # One list per text, no longer than the text.
-    steps = F.array_sort(F.collect_list(F.struct("df", "token", "rest", "w")))
-    parts = leading.groupBy("rep").agg(steps.alias("steps"))
-    last = F.element_at("steps", -1)
-    beyond = F.sqrt(F.greatest(F.lit(0.0), last.rest * last.rest - last.w * last.w))
-    ends = parts.select(
-        "rep",
-        F.struct(last.df.alias("df"), last.token.alias("token")).alias("end"),
-        beyond.alias("beyond"),
-        F.transform("steps", lambda s: F.struct(s.df, s.token)).alias("at"),
-        F.transform("steps", lambda s: s.rest).alias("rests"),
-    )
-    bounded = met.join(ends.toDF("rep_a", "end_a", "beyond_a", "at_a", "rests_a"), "rep_a").join(
-        ends.toDF("rep_b", "end_b", "beyond_b", "at_b", "rests_b"), "rep_b"
+        .agg(
+            F.sum(F.col("w_a") * F.col("w_b")).alias("known"),
+            F.max(F.col("rest_a") * F.col("rest_b")).alias("whole"),
+            F.min("after_a").alias("after_a"), F.min("after_b").alias("after_b"),
+            F.max("beyond_a").alias("beyond_a"), F.max("beyond_b").alias("beyond_b"),
+        )
     )
-
-    def norm_after(at: str, rests: str, beyond_own: str, end: str) -> Column:
-        passed = F.size(F.filter(at, lambda p: p <= F.col(end)))
-        return F.coalesce(F.get(rests, passed), F.col(beyond_own))
-
-    bound = F.when(
-        F.col("end_a") <= F.col("end_b"), F.col("beyond_a") * norm_after("at_b", "rests_b", "beyond_b", "end_a")
-    ).otherwise(F.col("beyond_b") * norm_after("at_a", "rests_a", "beyond_a", "end_b"))
+    open_part = F.greatest(F.col("beyond_a") * F.col("after_b"), F.col("beyond_b") * F.col("after_a"))
+    enough = threshold - 1e-9
     candidates = materialise(
-        bounded.where(F.col("known") + bound >= threshold - 1e-9).select("rep_a", "rep_b"), "similar-candidates"
+        met.where((F.col("whole") >= enough) & (F.col("known") + open_part >= enough)).select("rep_a", "rep_b"),
+        "similar-candidates",
     )
     wa = vectors.select(F.col("rep").alias("rep_a"), "token", F.col("w").alias("w_a"))
     wb = vectors.select(F.col("rep").alias("rep_b"), "token", F.col("w").alias("w_b"))
@@ -315,7 +311,7 @@ def cosine_pairs(vectors: DataFrame, threshold: float = 0.8) -> DataFrame:
         .join(wb, ["rep_b", "token"])
         .groupBy("rep_a", "rep_b")
         .agg(F.sum(F.col("w_a") * F.col("w_b")).alias("similarity"))
-        .where(F.col("similarity") >= threshold - 1e-9)
+        .where(F.col("similarity") >= enough)
     )
 
 

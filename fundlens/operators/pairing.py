@@ -51,7 +51,11 @@ def salted_join(
         .withColumn("_bl", every("_nl"))
         .drop("_nl", "_nr")
     )
-    joined = dealt_left.join(dealt_right, [*keys, "_bl", "_br"]).drop("_bl", "_br")
+    # A fixed number of partitions: the join grows its input, so tasks must not be merged by the
+    # size of what they read.
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = [*keys, "_bl", "_br"]
+    joined = dealt_left.repartition(n, *spread).join(dealt_right, spread).drop("_bl", "_br")
     return joined if condition is None else joined.where(condition)
 
 
