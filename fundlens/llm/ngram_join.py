@@ -10,7 +10,12 @@ sets meet in blocks keyed by (prefix element, size class). The sets of a block a
 1. Equal sets become one class, whose node is its smallest doc_id.
 2. Every node goes to the block of its first shared element. That links nearly all near copies.
 3. Blocks whose nodes are in one component already are dropped, and of blocks with equal nodes one
-   stays. The rest are joined too, so no link between components is lost.
+   stays. Pairs of the rest that could link and are in different components are joined too, so no
+   link between components is lost.
+
+Sets are large, so blocks first compare parity bits: every element flips one of about n bits, and
+two sets differ in at least as many elements as their bits do. Only nodes of pairs that this bound
+leaves get their sets, from a second look at their texts.
 
 A block of many nodes is split: in step 2 into parts that each hold the same few anchors, in step 3
 into all pairs of parts.
@@ -99,13 +104,14 @@ def _records(base: DataFrame, order: ShingleOrder, k: int, percent: int) -> Data
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, one, two, prefix = [], [], [], []
+            n, one, two, prefix, bits = [], [], [], [], []
             for _, found in w.texts_with_words(batch.column(1).to_pylist()):
                 s = order.elements(found, k)
                 n.append(len(s))
                 mixed = w.mix(s)
                 one.append(int(np.bitwise_xor.reduce(mixed)) if len(s) else 0)
                 two.append(int(mixed.sum()) if len(s) else 0)
+                bits.append(parity_bits(mixed))
                 prefix.append(w.signed(s[: len(s) - -(-percent * len(s) // 100) + 1]) if len(s) else np.zeros(0, np.int64))
             sizes = np.array([len(p) for p in prefix])
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
@@ -113,11 +119,63 @@ def _records(base: DataFrame, order: ShingleOrder, k: int, percent: int) -> Data
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64())]
                 + [pa.array(w.signed(np.array(x, np.uint64))) for x in (one, two)]
-                + [pa.ListArray.from_arrays(offsets, values)],
-                ["doc_id", "n", "fp1", "fp2", "prefix"],
+                + [pa.ListArray.from_arrays(offsets, values), pa.array(bits, pa.binary())],
+                ["doc_id", "n", "fp1", "fp2", "prefix", "bits"],
             )
 
-    return base.mapInArrow(sketch, "doc_id long, n long, fp1 long, fp2 long, prefix array<long>")
+    return base.mapInArrow(sketch, "doc_id long, n long, fp1 long, fp2 long, prefix array<long>, bits binary")
+
+
+def parity_bits(mixed: np.ndarray) -> bytes:
+    """One bit for each residue of the elements, odd or even; at least as many bits as elements."""
+    size = max(64, 1 << int(len(mixed) - 1).bit_length()) if len(mixed) else 64
+    odd = np.bincount((mixed & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def possible_pairs(bits: list[bytes], n: np.ndarray, percent: int, group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, later positions j in other groups) whose bits don't rule out a link."""
+    size = min(map(len, bits))
+    folded = np.empty((len(bits), size), np.uint8)
+    for i, b in enumerate(bits):
+        row = np.frombuffer(b, np.uint8)
+        while len(row) > size:  # residues of half the size: both halves meet
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+        folded[i] = row
+    words = folded.view(np.uint64)
+    for i in range(len(bits) - 1):
+        differ = np.bitwise_count(words[i + 1 :] ^ words[i]).sum(1, dtype=np.int64)
+        hit = ((100 + percent) * differ <= (100 - percent) * (n[i + 1 :] + n[i])) & (group[i + 1 :] != group[i])
+        if hit.any():
+            yield i, np.flatnonzero(hit) + i + 1
+
+
+def _possible(blocks: DataFrame, percent: int, pairs: bool) -> DataFrame:
+    """From blocks (key, part, node, n, component, bits): the pairs (a, b, ca, cb) of different
+    components that may link; without ``pairs`` the nodes of such pairs."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in w.runs(batches, ["key", "part"]):
+            if block.num_rows < 2:
+                continue
+            node, n, group = (block.column(c).to_numpy() for c in ("node", "n", "component"))
+            found = list(possible_pairs(block.column("bits").to_pylist(), n, percent, group))
+            if not found:
+                continue
+            if pairs:
+                i = np.repeat([x for x, _ in found], [len(j) for _, j in found])
+                j = np.concatenate([j for _, j in found])
+                flip = node[i] > node[j]
+                i, j = np.where(flip, j, i), np.where(flip, i, j)
+                columns = [node[i], node[j], group[i], group[j]]
+            else:
+                columns = [node[np.unique(np.concatenate([np.append(j, i) for i, j in found]))]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "ca", "cb"] if pairs else ["node"])
+
+    return (
+        blocks.repartition("key", "part").sortWithinPartitions("key", "part")
+        .mapInArrow(look, "a long, b long, ca long, cb long" if pairs else "node long")
+    )
 
 
 def _block_keys(nodes: DataFrame, percent: int) -> DataFrame:
@@ -199,6 +257,10 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column:
     keys = _block_keys(first, percent)
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = materialise(keys.join(sizes, "key"), "ngram-members")
+    shared = members.select("node").distinct()
+    sketches = materialise(
+        records.join(shared, records["doc_id"] == shared["node"], "left_semi").select(F.col("doc_id").alias("node"), "n", "bits"), "ngram-bits"
+    )
 
     parts = F.ceil(F.col("m") / PART).cast("int")
     part = F.expr(f"cast(pmod(xxhash64(node, key), ceil(m / {PART})) as int)")
@@ -207,9 +269,10 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column:
         members.groupBy("node").agg(F.min_by(F.struct("key", "m"), "pos").alias("b")).select("node", "b.*")
         .select("node", "key", F.explode(F.when(anchor, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(part))).alias("part"), F.col("node").alias("component"))
     )
-    near = materialise(_linked(base, one, order, k, percent), "ngram-links")
+    near = materialise(_possible(one.join(sketches, "node"), percent, pairs=False).distinct(), "ngram-near")
+    links = materialise(_linked(base, one.join(near, "node"), order, k, percent), "ngram-links")
 
-    found = connected_components(near, "a", "b")
+    found = connected_components(links, "a", "b")
     known = members.join(found, "node", "left").select("key", "m", "node", F.coalesce("component", "node").alias("component"))
     mixed = (
         known.groupBy("key").agg(
@@ -218,11 +281,17 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column:
         )
         .where("low < high").groupBy("size", "x1", "x2").agg(F.min("key").alias("key")).select("key")
     )
-    pairs = F.expr("transform(sequence(0, cast(ceil(m / {0}) as int) - 1), i -> least(i, p) * cast(ceil(m / {0}) as int) + greatest(i, p))".format(PART))
-    two = materialise(
-        known.join(mixed, "key").withColumn("p", part).select("node", "key", F.explode(pairs).alias("part"), "component"), "ngram-blocks"
+    part_pairs = F.expr("transform(sequence(0, cast(ceil(m / {0}) as int) - 1), i -> least(i, p) * cast(ceil(m / {0}) as int) + greatest(i, p))".format(PART))
+    blocks = known.join(mixed, "key").withColumn("p", part).select("node", "key", F.explode(part_pairs).alias("part"), "component")
+    pairs = materialise(_possible(blocks.join(sketches, "node"), percent, pairs=True).distinct(), "ngram-pairs")
+    # The set of a meets those of all its b; a star of many is split, with a in every part.
+    stars = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")), "a").withColumn("part", F.expr("cast(pmod(xxhash64(b), parts) as int)"))
+    two = stars.select(F.col("b").alias("node"), F.col("a").alias("key"), "part", F.col("cb").alias("component")).unionByName(
+        stars.select(F.col("a").alias("node"), F.col("a").alias("key"), "part", F.col("ca").alias("component")).distinct()
     )
-    rest = materialise(near.unionByName(_linked(base, two, order, k, percent)), "ngram-all-links")
+    rest = links
+    if not pairs.isEmpty():
+        rest = materialise(links.unionByName(_linked(base, two, order, k, percent)), "ngram-all-links")
 
     final = connected_components(rest, "a", "b")
     rep = records.select("doc_id", *same).join(classes, same, "left").select("doc_id", "n", "node")
