@@ -46,6 +46,7 @@ FREQUENT = 8  # sampled documents that make a shingle frequent
 FILTER_BITS = 1 << 23  # of the filter that spares documents outside every block
 PART = 1024  # sets of a block that meet in one task
 ANCHORS = 32
+LOW_KEYS = 4  # with which a pair is told apart from its repetitions in other blocks
 
 
 class ShingleOrder:
@@ -151,8 +152,9 @@ def possible_pairs(bits: list[bytes], n: np.ndarray, percent: int, group: np.nda
 
 
 def _possible(blocks: DataFrame, percent: int, pairs: bool) -> DataFrame:
-    """From blocks (key, part, node, n, component, bits): the pairs (a, b, ca, cb) of different
-    components that may link; without ``pairs`` the nodes of such pairs."""
+    """From blocks (key, part, node, n, component, bits): the nodes of pairs of different components
+    that may link. With ``pairs`` the pairs (a, b, ca, cb) themselves; the column ``low`` then has
+    a node's smallest keys, and a pair is left to a smaller key that both have among them."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in w.runs(batches, ["key", "part"]):
@@ -163,8 +165,11 @@ def _possible(blocks: DataFrame, percent: int, pairs: bool) -> DataFrame:
             if not found:
                 continue
             if pairs:
-                i = np.repeat([x for x, _ in found], [len(j) for _, j in found])
-                j = np.concatenate([j for _, j in found])
+                key, low = block.column("key")[0].as_py(), [set(x) for x in block.column("low").to_pylist()]
+                kept = [(x, y) for x, later in found for y in later.tolist() if min(low[x] & low[y], default=key) >= key]
+                if not kept:
+                    continue
+                i, j = np.array(kept).T
                 flip = node[i] > node[j]
                 i, j = np.where(flip, j, i), np.where(flip, i, j)
                 columns = [node[i], node[j], group[i], group[j]]
@@ -282,8 +287,10 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column:
         .where("low < high").groupBy("size", "x1", "x2").agg(F.min("key").alias("key")).select("key")
     )
     part_pairs = F.expr("transform(sequence(0, cast(ceil(m / {0}) as int) - 1), i -> least(i, p) * cast(ceil(m / {0}) as int) + greatest(i, p))".format(PART))
-    blocks = known.join(mixed, "key").withColumn("p", part).select("node", "key", F.explode(part_pairs).alias("part"), "component")
-    pairs = materialise(_possible(blocks.join(sketches, "node"), percent, pairs=True).distinct(), "ngram-pairs")
+    blocks = known.join(mixed, "key")
+    low = blocks.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LOW_KEYS).alias("low"))
+    parted = blocks.withColumn("p", part).select("node", "key", F.explode(part_pairs).alias("part"), "component")
+    pairs = materialise(_possible(parted.join(sketches.join(low, "node"), "node"), percent, pairs=True).distinct(), "ngram-pairs")
     # The set of a meets those of all its b; a star of many is split, with a in every part.
     stars = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")), "a").withColumn("part", F.expr("cast(pmod(xxhash64(b), parts) as int)"))
     two = stars.select(F.col("b").alias("node"), F.col("a").alias("key"), "part", F.col("cb").alias("component")).unionByName(
