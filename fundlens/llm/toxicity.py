@@ -77,7 +77,7 @@ def _gram_counts(train: DataFrame) -> np.ndarray:
     return out
 
 
-def _logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
+def _logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
     """Coefficients of scaled presence features by accelerated gradient descent."""
     n, k = len(y), len(scale)
     value = scale[cols]

@@ -1,0 +1,316 @@
+"""Operators for training text against brute force, round trips and held-out rows."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpus_pipeline import STAGES, run
+from fundlens.llm import chat, decontaminate, language, line_dedup, mixing, ngram_join, pii, quality_rules, queries, token_counts, toxicity
+from tests.oracle import compare, connect
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile("[^\x20\x09-\x0d]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, node long, key string"
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def shingles(text, k, whole=True):
+    w = WORD.findall(lower(text))
+    if len(w) < k:
+        return {tuple(w)} if w and whole else set()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Near and exact copies, null, empty and wordless texts, a repeated row, a row without id."""
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(300)]
+    out = []
+    for i in range(60):
+        words = [r.choice(vocabulary) for _ in range(r.choice((1, 2, 4, 30, 90, 400)))]
+        out.append((i, " ".join(words)))
+        for j in range(r.randrange(4)):
+            copy = list(words)
+            for _ in range(r.randrange(1 + len(words) // 25)):
+                copy[r.randrange(len(copy))] = r.choice(vocabulary)
+            out.append((100 + 10 * i + j, "  ".join(copy).upper()))
+    out += [(900, None), (901, ""), (902, " \n\t"), (903, "Alone"), (0, out[0][1]), (None, out[0][1]), (904, "x y é\u0085 z" * 9)]
+    return [(i, t, "en", f"s{(i or 0) % 3}", 0, 7, "k") for i, t in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
+def test_ngram_components(docs, rows, k, percent, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PART", 3)  # splits blocks
+    sets = {i: shingles(t, k) for i, t, *_ in rows if i is not None}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = ngram_join.ngram_components(docs, k, percent).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id is None:
+            assert r.component_id is None
+        else:
+            assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), find(r.doc_id))
+    kept = {r.doc_id for r in ngram_join.keep_first(docs, k, percent).collect()}
+    assert kept == {i for i in sets if find(i) == i} | {None}
+
+
+def test_trie_finds_every_component():
+    import numpy as np
+
+    from fundlens.llm.trie import Trie
+
+    r = random.Random(1)
+    sets = []
+    for _ in range(12):
+        base = r.sample(range(1000), 40)
+        sets += [np.array(sorted({*base[: 40 - d], *range(2000, 2000 + d)}), np.uint64) for d in (0, 0, 1, 2, 4, 6)]
+    links = Trie(sets).links(90, np.arange(len(sets)))
+    for i, j in links:
+        assert 100 * len({*sets[i]} & {*sets[j]}) >= 90 * len({*sets[i]} | {*sets[j]})
+    root = list(range(len(sets)))
+    for i, j in links:
+        a, b = root[i], root[j]
+        root = [a if x == b else x for x in root]
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len({*sets[i]} & {*sets[j]}) >= 90 * len({*sets[i]} | {*sets[j]}):
+                assert root[i] == root[j]
+
+
+def test_contamination(spark, docs, rows):
+    items = [(i, " ".join(WORD.findall(t)[3:33])) for i, t, *_ in rows[:40] if t and len(WORD.findall(t)) > 40]
+    items += [(-1, None), (-2, ""), (-3, "w1 w2"), items[0], (-4, "none of these words is there at all"), (None, items[1][1])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id, r.item_shingles, r.shared_shingles) for r in decontaminate.find_contamination(docs, benchmark).collect())
+    want = Counter()
+    for d, t, *_ in rows:
+        for item, x in set(items):
+            s = shingles(x, 5, whole=False)
+            shared = len(s & shingles(t, 5, whole=False))
+            if s and 100 * shared >= 80 * len(s):
+                want[d, item, len(s), shared] += 1
+    assert want and got == want
+    bad = {d for d, *_ in want}
+    kept = decontaminate.remove_contaminated(docs, benchmark)
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(d for d, *_ in rows if d not in bad)
+
+
+def test_text_statistics_and_rules(spark, docs, rows):
+    odd = [(1, "a b c\na b c\n\na b c d"), (2, "x x x x x"), (3, "#* a<b>\n \n#* a<b>"), (4, None), (5, ""), (6, "   a\rb ")]
+    table = spark.createDataFrame(odd + [(i, t) for i, t, *_ in rows], "doc_id long, text string")
+    got = Counter((r.doc_id, *(r.s[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))) for r in quality_rules.text_statistics(table, into="s").collect())
+    want = Counter()
+    for i, t in odd + [(i, t) for i, t, *_ in rows]:
+        t = t or ""
+        w = WORD.findall(t)
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        seen = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        covered = {k + j for k in range(len(w) - 2) if seen[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        want[i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)] += 1
+    assert got == want
+    # Rows of many symbols are bad: one rule finds them.
+    made = spark.createDataFrame([(i, " ".join(["word#" if i % 4 == 0 else "word"] * 60 + [f"a{i}"])) for i in range(200)], "doc_id long, text string")
+    measured = quality_rules.text_statistics(made).withColumn("bins", quality_rules.measure_bins())
+    labels = made.selectExpr("doc_id", "if(doc_id % 4 = 0, 0, 1) AS quality")
+    rules = quality_rules.learn_rules(quality_rules.labelled_rows(measured, labels))
+    assert 1 <= len(rules) <= 2
+    assert measured.where((quality_rules.decision(rules) > 0) != (F.col("doc_id") % 4 == 0)).count() == 0
+    assert quality_rules.learn_rules(quality_rules.labelled_rows(measured, labels.limit(0))) == []
+
+
+def test_toxicity_and_language_on_held_out_rows(spark, empty):
+    r = random.Random(2)
+    words = {"en": ["the", "thing", "with", "and", "that"], "xx": ["ñada", "qué", "ólo", "los", "zeta"]}
+    rows = []
+    for i in range(400):
+        lang = r.choice(sorted(words))
+        w = [r.choice(words[lang]) for _ in range(40)]
+        if i % 5 == 0:
+            w[r.randrange(40)] = "grumblefoo"
+        rows.append((i, " ".join(w), lang, "s", i % 5 == 0))
+    docs = spark.createDataFrame([(i, t, lang, s) for i, t, lang, s, _ in rows] + [(None, None, "en", "s"), (900, "", None, "s"), (901, "12 34 --", "en", "s")], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, 1, int(x)) for i, *_, x in rows] + [(None, 1, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).collect()
+    truth = {i: int(x) for i, *_, x in rows}
+    held = [s for s in scored if s.held_out]
+    assert len(scored) == 403 and len(held) > 50 and all(0 <= s.score <= 1 for s in scored)
+    assert sum(s.predicted == truth[s.doc_id] for s in held if s.doc_id in truth) >= 0.95 * len(held)
+    assert toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels.limit(0))).where("predicted = 1").count() == 0
+    found = language.predict_language(docs, language.fit_language(docs)).collect()
+    names = {i: lang for i, _, lang, *_ in rows}
+    assert all(f.lang_pred == names[f.doc_id] for f in found if f.doc_id in names)
+    assert {f.lang_pred for f in found if f.doc_id in (None, 900, 901)} == {"und"}
+    none = language.fit_language(empty)
+    assert language.predict_language(docs, none).where("lang_pred <> 'und'").count() == 0
+
+
+def test_line_dedup(spark):
+    line = lambda s, n=30: " ".join(f"{s}{i}" for i in range(n))
+    a = [line("a"), line("b"), line("c"), "short line", line("d", 60)]
+    rows = [
+        (1, "\n".join(a)), (2, "\n".join(["own text", a[0], a[1], "", "end"])), (3, "\n".join([a[4].upper(), "mine", a[0], a[1]])),
+        (4, "\n".join(a)), (5, a[0] + "\nother"), (6, None), (7, ""), (8, "\n".join([line("r", 60)] * 3)), (9, "\n".join([line("r", 60)] * 3 + ["z"])), (None, "\n".join(a)), (1, "\n".join(a)),
+    ]
+    docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, gone string")
+    got = defaultdict(list)
+    for r in line_dedup.dedup_lines(docs, report="told").collect():
+        got[r.doc_id].append(r.text)
+    assert got[1] == [rows[0][1]] * 2 and got[None] == [rows[0][1]]
+    assert got[2] == ["own text\nend"] and got[3] == ["mine"] and got[4] == [""]
+    assert got[5] == [rows[4][1]] and got[6] == [None] and got[7] == [""]
+    assert got[8] == [rows[7][1]] and got[9] == ["z"]
+    assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_token_counts(spark, docs, rows, empty):
+    encode = token_counts.encoding(token_counts.RANKS, token_counts.SPLIT).encode_ordinary
+    lengths = [len(encode(t or "")) for _, t, *_ in rows]
+    sums = token_counts.suffix_sums(token_counts.length_histogram(docs)).collect()
+    assert {r.length: r.documents for r in sums} == Counter(lengths)
+    for r in sums:
+        assert r.documents_from == sum(x >= r.length for x in lengths) and r.tokens_from == sum(x for x in lengths if x >= r.length)
+        assert r.truncated_tokens == sum(min(x, r.length) for x in lengths) and r.total_tokens == sum(lengths)
+    table = token_counts.suffix_sums(token_counts.length_histogram(docs))
+    for r in token_counts.context_limits(table, [1, 100, 10**6]).collect():
+        assert (r.documents_over, r.truncated_tokens) == (sum(x > r.limit for x in lengths), sum(min(x, r.limit) for x in lengths))
+    for r in token_counts.quantiles(table, [0.1, 0.5, 1.0]).collect():
+        assert r.length == sorted(lengths)[max(0, -(-int(r.share * 1000) * len(lengths) // 1000) - 1)]
+    assert token_counts.suffix_sums(token_counts.length_histogram(empty)).count() == 0
+
+
+def test_pii(spark):
+    texts = [
+        "mail ann.07@mail3.example.com or ANN.08@MAIL3.EXAMPLE.COM, +1 (621) 555-4974", "from 169.122.221.182 and 4539578763621486 again ann.07@mail3.example.com",
+        'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" Mrs Anna Smith met Mr Jones. Mrs Anna Smith left; Господин Иванов too', None, "", "nothing here 3.14",
+        "+1*** (621)### 555-4974%%%",
+    ]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "x")], "doc_id long, text string, value string")
+    out = pii.replace_entities(docs, report="n").collect()
+    assert Counter(r.doc_id for r in out) == Counter([*range(7), 0])
+    new = {r.doc_id: r.text for r in out}
+    assert (new[3], new[4], new[5]) == (texts[3], texts[4], texts[5])
+    for gone in ("ann.07", "ANN.08", "4974", "169.122", "4539578763621486", "04dbebab", "Smith", "Jones", "Иванов"):
+        assert not any(gone in (t or "") for t in new.values())
+    mail = re.search(r"\S+@\S+", new[0])[0]
+    assert new[1].endswith(mail) and re.fullmatch(r"[a-z]{3}\.\d\d@mail\d+\.example\.(org|net)", mail)
+    assert re.search(r"[A-Z]{3}\.\d\d@MAIL\d+\.EXAMPLE\.(ORG|NET),", new[0])
+    card = re.search(r"\d{16}", new[1])[0]
+    assert sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(card[::-1])) % 10 == 0
+    lady = re.findall(r"Mrs (\w+ \w+)", new[2])
+    assert len(lady) == 2 and lady[0] == lady[1] and lady[0].split()[0] in pii.GIVEN["latin", "f"]
+    assert re.search(r"Господин [А-Я][а-я]+", new[2])
+    assert pii.replace_entities(docs.limit(0)).count() == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    # 90 of 100 possible two-digit users collide at once.
+    values = spark.createDataFrame([("ip", f"10.0.{i // 256}.{i % 256}") for i in range(300)] + [("email", f"{i % 10}@mail{i}.example.com") for i in range(60)], "kind string, value string")
+    rows = pii.assign_surrogates(values, "key").collect()
+    assert len(rows) == len({r.surrogate for r in rows}) == 360
+    assert not {r.surrogate for r in rows} & {r.value for r in rows}
+
+
+def test_chat_round_trip(spark):
+    texts = ["\\### Assistant: </turn> ok", "<role:user>", "<end>\n", "\\b\\l<next>", None, "", "é\U0001f600\n"]
+    r = random.Random(3)
+    rows = [(c, t, r.choice(["user", "assistant", "assistant", "system", None, "a<b>"]), r.choice(texts)) for c in (*range(30), None) for t in range(r.randrange(1, 9))]
+    rows += [(1, None, "user", "no turn"), rows[0], rows[0]]
+    turns = spark.createDataFrame([(*x, "t") for x in rows], "conv_id long, turn long, role string, text string, turns string")
+    formatted = chat.format_conversations(turns)
+    by = defaultdict(list)
+    for c, t, role, text in rows:
+        by[c].append((t is not None, t or 0, role or "", text or ""))
+    read = {x.conv_id: x for x in formatted.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns")).collect()}
+    esc = lambda s: s.replace("\\", "\\b").replace("<", "\\l").replace(">", "\\g")
+    for x in chat.digests(formatted).collect():
+        want = sorted(by[x.conv_id], key=lambda t: (t[0], t[1], esc(t[2]).encode(), esc(t[3]).encode()))
+        assert [(t.role, t.text) for t in read[x.conv_id].turns] == [(t[2], t[3]) for t in want]
+        assert x.turns_sha256 == hashlib.sha256("".join(f"{t[2]}\n{t[3]}\n" for t in want).encode()).hexdigest()
+        loss = "".join(t[3] for t in want if t[2] == "assistant")
+        assert (x.n_turns, x.loss_chars, x.loss_sha256) == (len(want), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat.digests(chat.format_conversations(turns.limit(0))).count() == 0
+
+
+def test_mixing(docs, rows, empty):
+    out = mixing.mix(docs, slots=500).collect()
+    assert len(out) == len(rows)
+    size = Counter()
+    for i, t, _, s, *_ in rows:
+        size[s] += len(WORD.findall(t or ""))
+    names = sorted(size)
+    want = dict(zip(names, mixing.targets([size[n] for n in names])))
+    assert sum(want.values()) == pytest.approx(1.5 * sum(size.values()))
+    taken = Counter()
+    for r in out:
+        assert 0 <= r.taken <= 2 * r.size and r.source_size == size[r.source] and r.target == pytest.approx(want[r.source])
+        taken[r.source] += r.taken
+    assert all(abs(taken[n] - want[n]) <= 1 for n in names)
+    key = lambda x: tuple((str(v)) for v in x)
+    assert sorted(out, key=key) == sorted(mixing.mix(docs.repartition(5), slots=500).collect(), key=key)
+    assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+    assert mixing.targets([10, 100, 1000]) == pytest.approx([20, 200, 1445])
+
+
+def test_schedule_spreads_every_source(spark):
+    slots = [r.source for r in mixing.schedule(spark, [300, 100, 200], [3.0, 1.0, 2.0]).orderBy("slot").collect()]
+    assert Counter(slots) == {0: 300, 1: 100, 2: 200}
+    for n in range(50, 600, 50):
+        seen = Counter(slots[:n])
+        assert all(abs(seen[s] - n * share) < 6 for s, share in enumerate((0.5, 1 / 6, 1 / 3)))
+
+
+@pytest.mark.parametrize("name", ["op1_decontamination", "op5_ngram_jaccard", "op9_chat_format"])
+def test_sql(spark, name):
+    assert compare(spark, connect(SF), queries.QUERIES[name], queries.SQL[name], SF) is None
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    benchmark = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    out = run(spark, SF)
+    assert set(docs.columns) < set(out.columns)
+    got = {r.doc_id: r for r in out.collect()}
+    assert 0 < len(got) < docs.count()
+    whole = {r.doc_id: r.text for r in docs.collect()}
+    items = [s for s in (shingles(t, 5, whole=False) for t in benchmark) if s]
+    ids = sorted(got)
+    sets = {i: shingles(got[i].text, 5) for i in ids}
+    for i in ids:
+        assert len(WORD.findall(whole[i])) >= 50
+        assert not any(100 * len(s & shingles(got[i].text, 5, whole=False)) >= 80 * len(s) for s in items)
+        assert 0 < got[i].taken <= 2 * got[i].size
+        for j in ids:
+            assert i >= j or 100 * len(sets[i] & sets[j]) < 80 * len(sets[i] | sets[j])
+    # Every stage keeps the columns, also of an empty table.
+    for _, stage in STAGES[:-1]:
+        assert stage(spark, docs.limit(0), SF).columns == docs.columns
