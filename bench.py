@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from fundlens.plans.registry import load_all
@@ -19,6 +20,7 @@ HEADLINE = (
     "latest_alert_state", "district_comparison", "upsert_works", "assign_vendor_ids", "validate_rows",
     "triage_keywords", "invoice_diffs", "assess_feedback", "audit_answers", "top_k_vectors",
     "rate_limit", "duplicate_photos", "cosine_pairs", "cooccurrence_edges", "connected_components",
+    "alert_details", "union_signals", "double_funding_pairs", "complaint_clusters", "ingest_report",
 )
 
 
@@ -27,7 +29,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(
         "bench", f"local[{cpus}]",
-        **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g"},
+        **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "spark.driver.memory": "16g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries = load_all()

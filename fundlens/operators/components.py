@@ -35,20 +35,17 @@ def _contract(edges: DataFrame, outward: bool) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """(node, component) for all nodes of ``edges``; component is the smallest node in it.
 
     Each round is written to the checkpoint folder, which keeps the plan short and survives lost
     executors. The loop ends when a round changes nothing.
     """
-    current = durable(
-        edges.where(F.col(src) != F.col(dst))
-        .select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
-        .distinct()
-    )
-    nodes = edges.select(F.col(src).alias("node")).union(edges.select(F.col(dst).alias("node")))
+    links = durable(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct())
+    current = links.where("u <> v")
+    nodes = links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node")))
     state = None
-    for _ in range(max_rounds):
+    while True:
         mark = current.agg(
             F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(xxhash64(v, u) % 1000003)")
         ).first()
@@ -56,8 +53,6 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
             break
         state = tuple(mark)
         current = durable(_contract(_contract(current, outward=True), outward=False))
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return (
         nodes.distinct()

@@ -196,8 +196,8 @@ def state_district_ranking(works: DataFrame, k: int = 6) -> DataFrame:
     return ranked.withColumn("rate_pct", pct(F.col("anomalies"), F.col("total_works"), 1))
 
 
-def ministry_state_ranking(works: DataFrame, k: int = 8) -> DataFrame:
-    """The ``k`` states with most anomalies."""
+def state_kpis(works: DataFrame) -> DataFrame:
+    """Totals, anomaly rate and utilisation of every state."""
     return (
         works.groupBy(F.coalesce("state", F.lit("Unknown")).alias("state"))
         .agg(*_shared_kpis(), _spent().alias("spent"))
@@ -207,11 +207,14 @@ def ministry_state_ranking(works: DataFrame, k: int = 8) -> DataFrame:
             as_crore(F.col("_amount")).alias("sanctioned_cr"),
             whole_pct(F.col("spent"), F.col("_amount")).alias("utilization_pct"),
         )
-        .orderBy(F.desc("anomalies"), "state")
-        .limit(k)
     )
 
 
+def ministry_state_ranking(works: DataFrame, k: int = 8) -> DataFrame:
+    """The ``k`` states with most anomalies."""
+    return state_kpis(works).orderBy(F.desc("anomalies"), "state").limit(k)
+
+
 def ministry_anomaly_types(works: DataFrame) -> DataFrame:
     return works.where("is_anomaly and anomaly_type <> ''").groupBy("anomaly_type").agg(_n().alias("works"))
 

@@ -82,10 +82,10 @@ def scoped_alerts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(works_sql("""SELECT alert_id, risk_score FROM alerts WHERE lower(severity) = 'high' AND lower(status) = 'open' AND lower(source) = 'ai_flagged'
   AND (contains(lower(work_title), 'ward 7') OR contains(lower(work_id), 'ward 7') OR contains(lower(vendor_name), 'ward 7') OR contains(lower(alert_id), 'ward 7'))
-ORDER BY risk_score DESC, alert_id LIMIT 200""", *alert_ctes()))
+""", *alert_ctes()))
 def search_alerts(spark: SparkSession, sf: str) -> DataFrame:
     found = al.search_alerts(cm.alerts(spark, sf), "high", "open", "ai_flagged", "Ward 7")
-    return al.page(found, [F.desc("risk_score"), F.col("alert_id")], 200).select("alert_id", "risk_score")
+    return found.orderBy(F.desc("risk_score"), "alert_id").select("alert_id", "risk_score")
 
 
 @query(works_sql("""SELECT f.alert_id, f.work_id, f.status, severity, risk_score, work_category, w.work_status, coalesce(l.n, 0) AS audit_entries, l.last_action_at,

@@ -137,10 +137,10 @@ def state_district_ranking(spark: SparkSession, sf: str) -> DataFrame:
 
 _STATE_COLUMNS = ("state", "sanction_amount", "financial_progress_pct", "is_anomaly", "work_status")
 _STATES = f"""states AS (SELECT state, total_works, anomalies, {_pct('anomalies', 'total_works', 1)} AS rate_pct, {_cr('amount')} AS sanctioned_cr,
-  {_whole('spent', 'amount')} AS utilization_pct FROM (SELECT state, {_KPI}, sum({_SPENT}) AS spent FROM works GROUP BY state) ORDER BY anomalies DESC, state LIMIT 8)"""
+  {_whole('spent', 'amount')} AS utilization_pct FROM (SELECT state, {_KPI}, sum({_SPENT}) AS spent FROM works GROUP BY state))"""
 
 
-@query(works_sql("SELECT * FROM states", _STATES))
+@query(works_sql("SELECT * FROM states ORDER BY anomalies DESC, state LIMIT 8", _STATES))
 def ministry_state_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return db.ministry_state_ranking(dt.works(spark, sf, *_STATE_COLUMNS))
 
@@ -297,7 +297,7 @@ def most_common_districts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(works_sql("""SELECT state, state || ': ' || total_works || ' works, ' || anomalies || ' flagged (' || printf('%.1f', rate_pct) || '%), ' || utilization_pct || '% of funds utilised.' AS brief FROM states""", _STATES))
 def state_briefs(spark: SparkSession, sf: str) -> DataFrame:
-    return db.brief_rows(db.ministry_state_ranking(dt.works(spark, sf, *_STATE_COLUMNS)))
+    return db.brief_rows(db.state_kpis(dt.works(spark, sf, *_STATE_COLUMNS)))
 
 
 @query(works_sql(f"""SELECT mp_name, mp_name || ' (' || constituency || '): ' || printf('%.2f', {_cr('spent')}) || ' Cr spent (' || utilization_pct || '% of ' ||

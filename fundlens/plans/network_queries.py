@@ -289,7 +289,14 @@ def photo_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 def _near_sql(k: int) -> str:
     return f"""SELECT least(a.first, b.first) AS image_a, greatest(a.first, b.first) AS image_b, CAST(bit_count(xor(a.w0, b.w0)) + bit_count(xor(a.w1, b.w1)) AS INTEGER) AS distance, a.n * b.n AS image_pairs
 FROM grp a JOIN grp b ON a.first < b.first AND bit_count(xor(a.w0, b.w0)) + bit_count(xor(a.w1, b.w1)) <= {k}
-UNION ALL SELECT first, first, 0, n * (n - 1) // 2 FROM grp WHERE n > 1"""
+UNION ALL SELECT first, image_id, 0, 1 FROM prints JOIN grp USING (w0, w1) WHERE image_id <> first"""
+
+
+@query(cm.with_ctes(_fingerprint_sql(), _GROUPS, body=_near_sql(10)))
+def duplicate_photos_loose(spark: SparkSession, sf: str) -> DataFrame:
+    """The operator's own limit, ten bits."""
+    prints = materialise(_fingerprints(spark, sf), "prints")
+    return ph.duplicate_photo_groups(prints)
 
 
 @query(cm.with_ctes(_fingerprint_sql(), _GROUPS, body=_near_sql(3)))

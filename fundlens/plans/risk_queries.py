@@ -333,11 +333,13 @@ def topn_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(works_sql("""SELECT vendor_id FROM vendors WHERE is_hub INTERSECT
-SELECT vendor_id FROM (SELECT vendor_id, row_number() OVER (ORDER BY count(*) DESC, vendor_id) AS rn FROM works GROUP BY 1) WHERE rn <= 30""", dt.VENDORS_SQL))
+SELECT vendor_id FROM (SELECT vendor_id, row_number() OVER (ORDER BY count(*) DESC, vendor_id) AS rn FROM works GROUP BY 1) WHERE rn <= (SELECT count(*) FROM vendors WHERE is_hub)""", dt.VENDORS_SQL))
 def hub_overlap(spark: SparkSession, sf: str) -> DataFrame:
     counts = dt.works(spark, sf, "vendor_id").groupBy("vendor_id").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), "vendor_id").limit(30).select("vendor_id")
-    return dt.vendors(spark, sf).where("is_hub").select("vendor_id").intersect(top)
+    hubs = dt.vendors(spark, sf).where("is_hub").select("vendor_id")
+    # As many of the busiest vendors as there are hubs.
+    top = counts.orderBy(F.desc("n"), "vendor_id").limit(hubs.count()).select("vendor_id")
+    return hubs.intersect(top)
 
 
 @query(cm.with_ctes(dt.VENDORS_SQL, body="""SELECT vendor_id, CASE WHEN is_hub THEN 0.88 ELSE 0.25 END AS risk_score FROM vendors"""))

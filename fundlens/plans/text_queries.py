@@ -286,10 +286,10 @@ def work_chunks(spark: SparkSession, sf: str) -> DataFrame:
 @query(cm.with_ctes(dt.VENDORS_SQL, dt.MP_MASTER_SQL, dt.PAYMENTS_SQL, body="""SELECT chunk_id, type, text FROM (
   SELECT 'vendor:' || vendor_id AS chunk_id, 'vendor' AS type, 'Vendor ' || vendor_id || ': ' || vendor_name || ' in ' || state || '. Hub Vendor: ' || CASE WHEN is_hub THEN 'Yes' ELSE 'No' END || '. PAN: N/A, GSTIN: N/A.' AS text FROM vendors
   UNION ALL SELECT 'mp:' || mp_name, 'mp', 'MP: ' || mp_name || ', Constituency: ' || constituency || ', State: ' || state || ', House: N/A, Party: N/A.' FROM mp_master
-  UNION ALL SELECT 'payment:' || unique_work_number, 'payment', 'Payment for work ' || unique_work_number || ': ₹' || format('{:,}', CAST(round_even(CAST(payment_amount AS DOUBLE), 0) AS BIGINT)) || ' on ' || CAST(payment_date AS VARCHAR) || '. Type: ' || payment_type || '. Vendor: ' || vendor_id || '.' FROM payments)"""))
+  UNION ALL SELECT 'payment:' || payment_id, 'payment', 'Payment for work ' || unique_work_number || ': ₹' || format('{:,}', CAST(round_even(CAST(payment_amount AS DOUBLE), 0) AS BIGINT)) || ' on ' || CAST(payment_date AS VARCHAR) || '. Type: ' || payment_type || '. Vendor: ' || vendor_id || '.' FROM payments)"""))
 def master_chunks(spark: SparkSession, sf: str) -> DataFrame:
     parts = rt.vendor_chunks(dt.vendors(spark, sf)).unionByName(rt.mp_chunks(dt.mp_master(spark, sf)))
-    return parts.unionByName(rt.payment_chunks(dt.payments(spark, sf), F.col("unique_work_number"))).drop("state")
+    return parts.unionByName(rt.payment_chunks(dt.payments(spark, sf), F.col("payment_id"))).drop("state")
 
 
 _CROREF = "'₹' || printf('%.2f', CAST({} AS DOUBLE) / 10000000.0) || ' Crore'"

@@ -19,6 +19,9 @@ DEFAULT_CONF = {
 }
 
 
+_folders: dict[tuple[str, str], str] = {}
+
+
 def build_session(app: str = "fundlens", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -57,14 +60,17 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path for a scratch table; the table is deleted when the driver's JVM ends."""
-    path = f"{checkpoint_root(spark).rstrip('/')}/fundlens/{name}-{uuid.uuid4().hex[:12]}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    # Only paths that exist can be marked.
-    files.mkdirs(hadoop)
-    files.deleteOnExit(hadoop)
-    return path
+    """A new path for a scratch table, in a folder that is deleted when the driver's JVM ends."""
+    root = checkpoint_root(spark).rstrip("/")
+    app = spark.sparkContext.applicationId
+    folder = _folders.get((root, app))
+    if folder is None:
+        folder = _folders[root, app] = f"{root}/fundlens-{uuid.uuid4().hex[:12]}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)  # only what exists can be marked
+        files.deleteOnExit(path)
+    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:

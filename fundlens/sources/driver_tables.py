@@ -8,10 +8,14 @@ columns is wanted.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundlens.functions.numbers import MONEY
+from fundlens.session import materialise
 
 _CUSTOMER_COLUMNS = {
     "state", "nodal_district", "mp_name", "constituency", "implementing_agency_name", "work_name",
@@ -55,25 +59,55 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_LINE_COLUMNS = (
+    "l_linenumber", "l_suppkey", "l_partkey", "l_shipdate", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+)
+_shared: ContextVar[dict | None] = ContextVar("shared", default=None)
+
+
+@contextmanager
+def shared_lines():
+    """Within it, works asked for again are built from one stored table of first lines.
+
+    For queries that read the works several times: the lines are scanned and shuffled once, and
+    every later reading takes only its columns from the stored table.
+    """
+    token = _shared.set({})
+    try:
+        yield
+    finally:
+        _shared.reset(token)
+
+
 def _first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.struct(
-        "l_linenumber", "l_suppkey", "l_partkey", "l_shipdate", "l_extendedprice",
-        "l_discount", "l_tax", "l_returnflag",
-    )
-    return (
+    """The orders with lines, each with its first line."""
+    held = _shared.get()
+    if held is not None and sf_dir in held:
+        return held[sf_dir]
+    lines = (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey")
-        .agg(F.min(line).alias("line"))
+        .agg(F.min(F.struct(*_LINE_COLUMNS)).alias("line"))
         .select("l_orderkey", "line.*")
     )
+    orders = table(spark, sf_dir, "orders")
+    joined = lines.join(orders, F.col("l_orderkey") == orders.o_orderkey)
+    if held is not None:
+        joined = held[sf_dir] = materialise(
+            joined.select(
+                "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority", "o_orderstatus",
+                *[c for c in _LINE_COLUMNS if c not in ("l_linenumber", "l_extendedprice")],
+            ),
+            "first-lines",
+        )
+    return joined
 
 
 def works(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The works table, restricted to ``columns`` (all when none are named)."""
     wanted = columns or WORK_COLUMNS
     need = set(wanted)
-    orders = table(spark, sf_dir, "orders")
-    df = _first_lines(spark, sf_dir).join(orders, F.col("l_orderkey") == orders.o_orderkey)
+    df = _first_lines(spark, sf_dir)
     if need & _CUSTOMER_COLUMNS:
         customer = table(spark, sf_dir, "customer").select(
             "c_custkey", "c_name", "c_nationkey", "c_mktsegment"
@@ -210,6 +244,7 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").cast(MONEY).alias("payment_amount"),
         F.when(F.col("l_linestatus") == "F", "FINAL").otherwise("INSTALMENT").alias("payment_type"),
         vendor_number(F.col("l_suppkey")).alias("vendor_id"),
+        F.concat_ws("-", work_number(F.col("l_orderkey")), "l_linenumber", "l_partkey", "l_suppkey").alias("payment_id"),
     )
 
 
@@ -217,6 +252,7 @@ PAYMENTS_SQL = """payments AS (
   SELECT 'W' || lpad(CAST(l_orderkey AS VARCHAR), 8, '0') AS unique_work_number,
     CAST(l_shipdate AS DATE) AS payment_date, CAST(l_extendedprice AS DECIMAL(18,2)) AS payment_amount,
     CASE WHEN l_linestatus = 'F' THEN 'FINAL' ELSE 'INSTALMENT' END AS payment_type,
-    'V' || lpad(CAST(l_suppkey AS VARCHAR), 5, '0') AS vendor_id
+    'V' || lpad(CAST(l_suppkey AS VARCHAR), 5, '0') AS vendor_id,
+    concat_ws('-', 'W' || lpad(CAST(l_orderkey AS VARCHAR), 8, '0'), l_linenumber, l_partkey, l_suppkey) AS payment_id
   FROM lineitem
 )"""

@@ -57,8 +57,8 @@ def build_or_reuse(
 
 
 def write_quarantine(rejects: DataFrame, path: str) -> None:
-    """Append rejected rows as JSON lines, one folder per task."""
-    rejects.write.mode("append").partitionBy("task_id").json(path)
+    """Rejected rows as JSON lines, one folder per task; a task that runs again replaces its own."""
+    rejects.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("task_id").json(path)
 
 
 def read_quarantine(spark: SparkSession, path: str, task_id: str) -> DataFrame:

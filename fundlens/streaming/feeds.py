@@ -30,7 +30,8 @@ def ingest_stream(
     """Ingest all CSV files that are new in ``folder``, a micro-batch at a time.
 
     Every batch runs the whole cleaning chain and merges into the store as a new version. A batch
-    that is replayed after a failure merges the same rows again, which changes nothing.
+    that is replayed after a failure merges the same rows again and replaces its own rejects, which
+    changes nothing.
     """
     files = (
         spark.readStream.schema(schema).option("header", True).option("escape", '"').csv(folder)

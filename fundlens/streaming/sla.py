@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+DONE = "ESCALATED"
 DAY_MS = 24 * 3600 * 1000
 OUTPUT = "work_id string, alert_id string, type string, due_ms bigint"
 STATE = "alert_id string, status string, due_ms bigint, warned boolean"
@@ -19,7 +20,8 @@ def sla_monitor(alerts: DataFrame, event_time: str, lateness: str = "1 hour") ->
 
     ``alerts`` is a stream of alert states (work_id, alert_id, status, sla_deadline, event time);
     the latest state of a work counts. Event-time timers wake a work a day before its deadline and
-    at its deadline; a work that is no longer open is forgotten.
+    at its deadline; an escalated one is remembered until its alert closes, so that later rows of
+    the open alert don't warn again. A work that is no longer open is forgotten.
     """
     rows = alerts.select(
         "work_id", "alert_id", "status",
@@ -32,13 +34,16 @@ def sla_monitor(alerts: DataFrame, event_time: str, lateness: str = "1 hour") ->
         if state.hasTimedOut:
             alert_id, status, due, warned = state.get
         else:
-            warned = state.exists and state.get[3]
+            before = state.get if state.exists else None
+            warned = before is not None and before[3]
             newest = pd.concat(list(batches)).sort_values("event_at").iloc[-1]
             alert_id, status, due = newest["alert_id"], newest["status"], int(newest["due_ms"])
         if status != "OPEN":
             if state.exists:
                 state.remove()
             return
+        if not state.hasTimedOut and before is not None and before[1] == DONE:
+            return
         now = state.getCurrentWatermarkMs()
         out = []
         if now >= due - DAY_MS and not warned:
@@ -46,8 +51,7 @@ def sla_monitor(alerts: DataFrame, event_time: str, lateness: str = "1 hour") ->
             warned = True
         if now >= due:
             out.append("ESCALATED")
-            if state.exists:
-                state.remove()
+            state.update((alert_id, DONE, due, True))
         else:
             state.update((alert_id, status, due, warned))
             state.setTimeoutTimestamp(max(now + 1, due if warned else due - DAY_MS))

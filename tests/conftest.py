@@ -1,3 +1,5 @@
+import tempfile
+
 import pytest
 
 from fundlens.session import build_session
@@ -7,7 +9,7 @@ from fundlens.session import build_session
 def spark():
     session = build_session(
         "tests", "local[8]",
-        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "6g"},
+        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "spark.driver.memory": "6g"},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

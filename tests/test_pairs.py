@@ -2,6 +2,7 @@
 
 import difflib
 import math
+import collections
 import random
 
 import pytest
@@ -153,8 +154,12 @@ def test_near_hashes(spark, limit):
         if bin(prints[i] ^ prints[j]).count("1") <= limit
     )
     assert got == want
-    grouped = photos.duplicate_photo_groups(df, limit).agg(F.sum("image_pairs")).first()[0]
-    assert grouped == len(want)
+    rows = photos.duplicate_photo_groups(df, limit).collect()
+    assert all(r.image_a < r.image_b for r in rows)
+    copies = collections.Counter(r.image_a for r in rows if r.distance == 0)
+    assert copies == collections.Counter(prints.index(h) for h in prints) - collections.Counter({prints.index(h) for h in prints})
+    # A star of n - 1 rows stands for n (n - 1) / 2 pairs, a near pair of fingerprints for image_pairs.
+    assert sum(r.image_pairs for r in rows if r.distance) + sum(n * (n + 1) // 2 for n in copies.values()) == len(want)
 
 
 def test_hash_pairs_example(spark):
