@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundlens.functions.numbers import count_when
 from fundlens.operators import benchmarks as bm
 from fundlens.operators import harmonise as hz
 from fundlens.operators import store as st
@@ -82,25 +81,16 @@ def ingest_file(
     as_of: str,
     mp_master: DataFrame | None = None,
     fmt: str = "auto",
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Run the whole chain on a file or folder; returns the run report as one row."""
-    raw = read_raw(spark, path, fmt, with_row_id=True)
+    """Run the whole chain on a file or folder; returns the run report as one row.
+
+    The input is parsed once, into a stored table that all steps read.
+    """
+    raw = materialise(read_raw(spark, path, fmt, multi_line, with_row_id=True), "raw")
     references = None if mp_master is None else materialise(hz.reference_lists(mp_master), "references")
     done = ingest_frame(raw, task_id, as_of, references)
     write_quarantine(done.rejects, quarantine)
     merged = merge_works(spark, store, done.valid)
     # Two one-row frames.
     return done.report.crossJoin(F.broadcast(merged))
-
-
-def error_counts(checked: DataFrame) -> DataFrame:
-    """How often each error occurs."""
-    return checked.select(F.explode("errors").alias("error")).groupBy("error").agg(
-        F.count(F.lit(1)).alias("rows")
-    )
-
-
-def warning_counts(checked: DataFrame) -> DataFrame:
-    return checked.select(F.explode("warnings").alias("warning")).groupBy("warning").agg(
-        count_when(F.col("warning").isNotNull()).alias("rows")
-    )

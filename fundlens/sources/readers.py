@@ -24,13 +24,13 @@ def read_raw(
     spark: SparkSession,
     path: str | list[str],
     fmt: str = "auto",
-    multi_line: bool = True,
+    multi_line: bool = False,
     with_row_id: bool = False,
 ) -> DataFrame:
     """Read CSV, TSV, a JSON array or JSON lines as all-text columns.
 
-    ``multi_line`` allows quoted line breaks, at the price of one task per file; switch it off
-    for big files without them, which Spark then splits. ``with_row_id`` adds a sortable
+    Big files are split over tasks; ``multi_line`` allows quoted line breaks, at the price of one
+    task per file. ``with_row_id`` adds a sortable
     position (file, split, place in the task) for rules such as "the later row wins".
     """
     first = path if isinstance(path, str) else path[0]

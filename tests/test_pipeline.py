@@ -24,7 +24,7 @@ def test_readers(spark, tmp_path):
     (tmp_path / "a.csv").write_text('a,b\n1,"x\ny"\n2,z\n', encoding="utf-8")
     (tmp_path / "a.tsv").write_text("a\tb\n1\tx\n", encoding="utf-8")
     (tmp_path / "a.json").write_text(json.dumps([{"a": 1, "b": None}, {"a": "x", "b": 2.5}]), encoding="utf-8")
-    assert [tuple(r) for r in readers.read_raw(spark, str(tmp_path / "a.csv")).collect()] == [("1", "x\ny"), ("2", "z")]
+    assert [tuple(r) for r in readers.read_raw(spark, str(tmp_path / "a.csv"), multi_line=True).collect()] == [("1", "x\ny"), ("2", "z")]
     assert readers.read_raw(spark, str(tmp_path / "a.tsv")).collect()[0].b == "x"
     assert [tuple(r) for r in readers.read_raw(spark, str(tmp_path / "a.json")).collect()] == [("1", None), ("x", "2.5")]
     with pytest.raises(ValueError):
