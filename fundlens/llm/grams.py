@@ -8,7 +8,7 @@ import numpy as np
 
 from fundlens.llm.words import mix, slices
 
-PAD = 4  # marks before each text; grams with them are those at its ends
+PAD = 5  # marks before each text; grams with them are those at its ends
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 SLICE_CHARS = 1 << 19
 

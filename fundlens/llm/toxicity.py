@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the presence of hashed n-grams of 3 to 5 characters in the whole text. Over all
+Features are the presence of hashed n-grams of 3 to 6 characters in the whole text. Over all
 training rows the documents of either label are counted for each n-gram; the ratio of the smoothed
 shares, as a logarithm, scales the feature. The ``FEATURES`` n-grams whose shares differ most
 (by their standard error) are kept, and logistic regression with an L2 penalty is fitted on them.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from fundlens.llm.grams import distinct_pairs, gram_buckets
 
-SIZES = (3, 4, 5)
+SIZES = (3, 4, 5, 6)
 BITS = 20
 FEATURES = 2048
 MAX_ROWS = 20_000
@@ -77,7 +77,7 @@ def _gram_counts(train: DataFrame) -> np.ndarray:
     return out
 
 
-def _logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
+def _logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
     """Coefficients of scaled presence features by accelerated gradient descent."""
     n, k = len(y), len(scale)
     value = scale[cols]
