@@ -54,27 +54,28 @@ def present(texts: list[str | None], feature: np.ndarray) -> Iterator[tuple[int,
         yield lo, n, *distinct_pairs(row[hit], f[hit].astype(np.int64), BITS)
 
 
-def _gram_counts(train: DataFrame) -> np.ndarray:
-    """(2, buckets): documents of each label with the n-gram, over all rows (toxic, text)."""
+def _chosen_grams(train: DataFrame, clean: float, toxic: float) -> DataFrame:
+    """(bucket, ratio) of the ``FEATURES`` n-grams whose shares differ most, over all rows (toxic, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
-            toxic = batch.column(0).to_numpy()
+            label_of = batch.column(0).to_numpy()
             for lo, n, row, bucket in gram_buckets(batch.column(1).to_pylist(), SIZES, BITS):
                 row, bucket = distinct_pairs(row, bucket, BITS)
-                label = toxic[lo : lo + n][row]
+                label = label_of[lo : lo + n][row]
                 for y in (0, 1):
                     total[y] += np.bincount(bucket[label == y], minlength=1 << BITS)
-        for y in (0, 1):
-            at = np.flatnonzero(total[y])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), y, np.int32)), pa.array(at.astype(np.int32)), pa.array(total[y][at])], ["y", "bucket", "n"])
+        at = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[0][at]), pa.array(total[1][at])], ["bucket", "clean", "toxic"])
 
-    # At most two rows for each bucket, whatever the rows of the table.
-    found = train.mapInArrow(count, "y int, bucket int, n long").groupBy("y", "bucket").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
-    out = np.zeros((2, 1 << BITS))
-    out[found["y"].to_numpy(int), found["bucket"].to_numpy(int)] = found["n"].to_numpy(float)
-    return out
+    # At most one row for each bucket, whatever the rows of the table; a single document counts as none.
+    counts = train.mapInArrow(count, "bucket int, clean long, toxic long").groupBy("bucket").agg(*(F.when(F.sum(c) > 1, F.sum(c)).otherwise(0).cast("double").alias(c) for c in ("clean", "toxic")))
+    pooled = (F.col("clean") + F.col("toxic")) / (clean + toxic)
+    spread = F.sqrt(pooled * (1 - pooled) * (1 / clean + 1 / toxic) + 1e-9)
+    z = F.abs(F.col("toxic") / toxic - F.col("clean") / clean) / spread
+    ratio = F.log((F.col("toxic") + 1) / (toxic + 2)) - F.log((F.col("clean") + 1) / (clean + 2))
+    return counts.where("clean + toxic > 0").select("bucket", ratio.alias("ratio"), z.alias("z")).orderBy(F.desc("z"), "bucket").limit(FEATURES)
 
 
 def _logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
@@ -112,15 +113,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     if not totals.all():
         return ToxicityModel(none, np.zeros(1), 30.0 if share else -30.0)
 
-    counts = _gram_counts(train)
-    ratio = np.log((counts[1] + 1) / (totals[1] + 2)) - np.log((counts[0] + 1) / (totals[0] + 2))
-    pooled = counts.sum(0) / totals.sum()
-    z = np.abs(counts[1] / totals[1] - counts[0] / totals[0]) / np.sqrt(pooled * (1 - pooled) * (1 / totals[0] + 1 / totals[1]) + 1e-9)
-    chosen = np.argsort(-z, kind="stable")[:FEATURES]
-    chosen = chosen[counts[:, chosen].sum(0) > 1]
+    best = _chosen_grams(train, *map(float, totals)).collect()
     feature = none.copy()
-    feature[chosen] = np.arange(len(chosen))
-    scale = ratio[chosen]
+    feature[[r.bucket for r in best]] = np.arange(len(best))
+    scale = np.array([r.ratio for r in best])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
