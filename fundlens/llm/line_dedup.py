@@ -18,7 +18,6 @@ least hash), and what is deleted from it is deleted from each by line content. O
 from __future__ import annotations
 
 import bisect
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,20 +31,23 @@ from pyspark.sql import types as T
 from fundlens.session import materialise
 
 MIN_WORDS = 50
-_WORD = re.compile("[^\x20\x09-\x0d]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def line_hashes(text: str | None) -> tuple[list[int], list[int], list[int]]:
-    """(position among all lines, hash, number of words) of the lines with a word."""
-    at, hashes, counts = [], [], []
-    for i, line in enumerate((text or "").split("\n")):
-        found = _WORD.findall(line)
+def word_lines(text: str | None) -> Iterator[tuple[int, list[bytes]]]:
+    """(position among all lines, words) of the lines with a word; bytes split at the six white space bytes."""
+    for i, line in enumerate((text or "").encode().split(b"\n")):
+        found = line.split()
         if found:
-            at.append(i)
-            hashes.append(xxhash.xxh3_64_intdigest(" ".join(found).translate(_LOWER)) - (1 << 63))
-            counts.append(len(found))
-    return at, hashes, counts
+            yield i, found
+
+
+def line_hashes(text: str | None) -> tuple[list[int], list[int]]:
+    """(hash, number of words) of the lines with a word."""
+    hashes, counts = [], []
+    for _, found in word_lines(text):
+        hashes.append(xxhash.xxh3_64_intdigest(b" ".join(found).lower()) - (1 << 63))
+        counts.append(len(found))
+    return hashes, counts
 
 
 def run_hashes(hashes: list[int], counts: list[int], min_words: int) -> list[int | None]:
@@ -139,7 +141,7 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             columns = ([], [], [])
             for text in batch.column(1).to_pylist():
-                _, hashes, counts = line_hashes(text)
+                hashes, counts = line_hashes(text)
                 for c, x in zip(columns, (hashes, counts, sorted({r for r in run_hashes(hashes, counts, min_words) if r is not None}))):
                     c.append(x)
             yield pa.RecordBatch.from_arrays(
@@ -196,7 +198,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, report: str | None
             texts = batch.column(at).to_pylist()
             told = []
             for n, gone in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                places, _, counts = line_hashes(texts[n]) if gone or report else ((), (), ())
+                spoken_lines = [(i, len(found)) for i, found in word_lines(texts[n])] if gone or report else []
+                places, counts = [i for i, _ in spoken_lines], [c for _, c in spoken_lines]
                 gone = [g for g in gone or () if g < len(places)]
                 told.append((len(places), len(gone), sum(counts), sum(counts[g] for g in gone)))
                 if gone:
