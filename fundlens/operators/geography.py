@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fundlens.schemas import PLACE_ALIASES
 from fundlens.operators.names import similar_names
+from fundlens.session import materialise
 
 # Thresholds of the two fuzzy steps.
 FUZZY_THRESHOLD = 0.80
@@ -82,3 +83,33 @@ def match_reference(
         .withColumn(column, F.coalesce(F.col("canonical"), df[column]))
         .select(order)
     )
+
+
+def match_references(
+    df: DataFrame, columns: dict[str, str], references: DataFrame, threshold: float = FUZZY_THRESHOLD
+) -> DataFrame:
+    """``match_reference`` for several columns, given with the kind of place each one names.
+
+    ``references`` is (kind, name). The distinct names of all columns are taken in one pass over
+    ``df``, and each kind is mapped once, whatever the number of its columns.
+    """
+    if not columns:
+        return df
+    found = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("name")) for c, k in columns.items()]))
+    names = materialise(df.select(found.alias("p")).select("p.kind", "p.name").distinct(), "place-names")
+    mapping = None
+    for kind in sorted(set(columns.values())):
+        of_kind = F.col("kind") == kind
+        part = place_mapping(names.where(of_kind).select("name"), references.where(of_kind).select("name"), threshold)
+        part = part.select(F.lit(kind).alias("kind"), "raw", "canonical")
+        mapping = part if mapping is None else mapping.unionByName(part)
+    mapping = materialise(mapping, "place-mapping")
+    order = df.columns
+    for column, kind in columns.items():
+        names_of = mapping.where(F.col("kind") == kind).select(F.col("raw").alias("_raw"), F.col("canonical").alias("_canonical"))
+        df = (
+            df.join(names_of, F.col(column) == F.col("_raw"), "left")
+            .withColumn(column, F.coalesce("_canonical", column))
+            .select(order)
+        )
+    return df

@@ -10,7 +10,7 @@ from fundlens.functions.dates import normalize_date
 from fundlens.functions.money import normalize_currency
 from fundlens.functions.names import blank_to_null
 from fundlens.functions.numbers import to_number
-from fundlens.operators.geography import match_reference
+from fundlens.operators.geography import match_references
 
 
 def alias_lookup(column_map: dict[str, list[str]] | None = None) -> dict[str, str]:
@@ -78,8 +78,4 @@ def normalise_rows(df: DataFrame, references: DataFrame | None = None) -> DataFr
         "implementing_district": "district",
         "constituency": "constituency",
     }
-    for column, kind in places.items():
-        if column in out.columns:
-            refs = references.where(F.col("kind") == kind).select("name")
-            out = match_reference(out, column, refs)
-    return out
+    return match_references(out, {c: k for c, k in places.items() if c in out.columns}, references)

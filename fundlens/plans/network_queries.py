@@ -194,15 +194,15 @@ def degree_centrality(spark: SparkSession, sf: str) -> DataFrame:
     return en.degree_centrality(_assignments(spark, sf))
 
 
-def _collusion(spark: SparkSession, sf: str, min_score: float):
+def _collusion(spark: SparkSession, sf: str):
     """Assignments, edges and clusters of the audit; edges feed several steps, so they are kept."""
     assignments = _assignments(spark, sf)
     edges = materialise(en.cooccurrence_edges(assignments), "edges")
-    members = en.collusion_members(edges, min_score)
+    members = en.collusion_members(edges)
     return assignments, edges, members
 
 
-_CLUSTERS = (_EDGES, "links AS (SELECT entity_a AS a, entity_b AS b FROM edges WHERE cooccurrence_score >= 0.5)", """parts AS (
+_CLUSTERS = (_EDGES, "links AS (SELECT entity_a AS a, entity_b AS b FROM edges WHERE cooccurrence_score >= 0.7)", """parts AS (
   SELECT node, min(reached) AS component FROM closure GROUP BY node)""")
 _FLOOD = """closure AS (
   SELECT a AS node, a AS reached FROM links UNION SELECT b, b FROM links
@@ -211,27 +211,28 @@ _FLOOD = """closure AS (
 
 @query(_recursive(dt.WORKS_SQL, *_CLUSTERS[:2], _FLOOD, _CLUSTERS[2], body="SELECT node AS entity_id, component AS cluster_id FROM parts"))
 def collusion_members(spark: SparkSession, sf: str) -> DataFrame:
-    return _collusion(spark, sf, 0.5)[2]
+    return _collusion(spark, sf)[2]
 
 
 _CLUSTER_ROWS = """clusters AS (SELECT component AS cluster_id,
     (SELECT count(*) FROM parts q WHERE q.component = c.component) AS entity_count, count(DISTINCT official) AS official_count, count(DISTINCT entity_a || entity_b) AS edge_count,
-    (SELECT CAST(sum(CAST(cooccurrence_score AS DECIMAL(18,4))) AS DOUBLE) / count(*) FROM edges e JOIN parts r ON r.node = e.entity_a WHERE r.component = c.component AND cooccurrence_score >= 0.5) AS mean
+    (SELECT CAST(sum(CAST(cooccurrence_score AS DECIMAL(18,4))) AS DOUBLE) / count(*) FROM edges e JOIN parts r ON r.node = e.entity_a WHERE r.component = c.component AND cooccurrence_score >= 0.7) AS mean
   FROM (SELECT p.component, e.entity_a, e.entity_b, x.official FROM edges e JOIN parts p ON p.node = e.entity_a JOIN share x ON x.entity = e.entity_a JOIN share y ON y.entity = e.entity_b AND y.official = x.official
-    WHERE cooccurrence_score >= 0.5) c GROUP BY component)"""
+    WHERE cooccurrence_score >= 0.7) c GROUP BY component)"""
 
 
 @query(_recursive(dt.WORKS_SQL, *_CLUSTERS[:2], _FLOOD, _CLUSTERS[2], _CLUSTER_ROWS, body="SELECT cluster_id, entity_count, official_count, edge_count, round_even(least(1.0, mean) * 1000, 0) / 1000 AS risk_score FROM clusters"))
 def collusion_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """The whole audit: assignments, edges, components, cluster rows."""
-    assignments, edges, members = _collusion(spark, sf, 0.5)
-    return en.collusion_clusters(edges, members, assignments, 0.5)
+    assignments, edges, members = _collusion(spark, sf)
+    return en.collusion_clusters(edges, members, assignments)
 
 
-@query(_recursive(dt.WORKS_SQL, *_CLUSTERS[:2], _FLOOD, _CLUSTERS[2], _CLUSTER_ROWS, body="SELECT cluster_id, 'COLLUSION_CLUSTER' AS signal_type, round_even(least(1.0, mean) * 1000, 0) / 1000 AS severity FROM clusters"))
+@query(_recursive(dt.WORKS_SQL, *_CLUSTERS[:2], _FLOOD, _CLUSTERS[2], _CLUSTER_ROWS, body="""SELECT cluster_id, signal_type, severity, printf('Potential collusion cluster: %d vendor entities and %d official(s) co-occur at unusual rates (risk score %.2f).', entity_count, official_count, severity) AS reason
+FROM (SELECT cluster_id, 'COLLUSION_CLUSTER' AS signal_type, round_even(least(1.0, mean) * 1000, 0) / 1000 AS severity, entity_count, official_count FROM clusters)"""))
 def collusion_signals(spark: SparkSession, sf: str) -> DataFrame:
-    assignments, edges, members = _collusion(spark, sf, 0.5)
-    return en.collusion_signals(en.collusion_clusters(edges, members, assignments, 0.5)).drop("reason")
+    assignments, edges, members = _collusion(spark, sf)
+    return en.collusion_signals(en.collusion_clusters(edges, members, assignments))
 
 
 # ---- photos -------------------------------------------------------------------------------

@@ -68,6 +68,21 @@ def test_place_mapping(spark):
         assert got[x] == difflib.get_close_matches(x, refs, n=1, cutoff=0.8)[0]
 
 
+def test_match_references(spark):
+    """Several columns at once give what one after the other gives."""
+    refs = spark.createDataFrame([("state", "Kerala"), ("state", "Assam"), ("district", "Kottayam"), ("district", "Nagaon")], "kind string, name string")
+    rows = [("kerala", "Kotayam", "nagaon"), (" Assam ", None, ""), (None, "Nagaon", "Kottayam"), ("Nowhere at all", "Kerala", "Kotayam"), ("kerala", "Kotayam", "nagaon")]
+    df = spark.createDataFrame(rows, "state string, first string, second string")
+    columns = {"state": "state", "first": "district", "second": "district"}
+    want = df
+    for column, kind in columns.items():
+        want = geography.match_reference(want, column, refs.where(f"kind = '{kind}'").select("name"))
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(geography.match_references(df, columns, refs).collect(), key=key) == sorted(want.collect(), key=key)
+    assert geography.match_references(df, {}, refs).columns == df.columns
+
+
+
 def components_of(edges):
     parent = {}
 
@@ -215,7 +230,6 @@ def test_double_funding(spark):
 @pytest.mark.parametrize("blocked", [False, True])
 def test_top_k_vectors(spark, monkeypatch, blocked):
     if blocked:
-        monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 1)
         monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
         monkeypatch.setattr(retrieval, "CHUNK_BLOCK", 20)
     rng = random.Random(9)
