@@ -7,11 +7,14 @@ landmarks' own kernel matrix, are its Nyström features, and one ridge regressio
 against the rest is solved in closed form. For scoring, the landmarks' presence matrix, the
 whitening and the coefficients are one matrix, with which batches of presence vectors are multiplied.
 
-The classifier is fitted on at most about ``MAX_ROWS`` training rows, taken by a hash of doc_id.
+The rows of each language are counted over all training rows. The classifier is fitted on rows taken
+by a hash of doc_id: about ``MAX_ROWS`` in proportion to the languages, and of a language that would
+get fewer than ``LEAST_ROWS`` about that many, or all it has. So no language drops out, whatever its
+share, and the rows to fit are bounded by ``MAX_ROWS`` and the number of languages.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; so is every text if there is
-nothing to learn from. A language is any non-null lang of the training rows. Rows without doc_id
-are scored but not learned from. Repeated rows score alike. Other columns aren't read.
+nothing to learn from. A language is any non-null lang of the training rows, those with a text and
+not held out. Rows without doc_id are scored but not learned from. Repeated rows score alike. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ SIZES = (1, 2, 3)
 BITS = 14
 MAX_ROWS = 4096
 LANDMARKS = 48  # of each language
+LEAST_ROWS = 2 * LANDMARKS  # of each language, on average; under 48 in one of a million samples
 RIDGE = 1e-2
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -62,10 +66,20 @@ class LanguageModel:
         return best, score
 
 
+def fit_rows(train: DataFrame) -> DataFrame:
+    """The rows of ``train`` to fit on, by language."""
+    place = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 40))
+    counts = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).collect()
+    share = MAX_ROWS / max(sum(r.n for r in counts), 1)
+    # The row of least hash is always among them, should copies of one doc_id be all that a language has.
+    limits = [(r.lang, max(r.least + 1, int(min(1.0, max(share, LEAST_ROWS / r.n)) * (1 << 40)))) for r in counts]
+    limit = train.sparkSession.createDataFrame(limits, "lang string, __limit long")
+    return train.join(F.broadcast(limit), "lang").where(place < F.col("__limit"))
+
+
 def fit_language(docs: DataFrame) -> LanguageModel:
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    rate = min(1.0, MAX_ROWS / max(train.count(), 1))
-    sample = train.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int(rate * (1 << 20)))
+    sample = fit_rows(train)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,11 +106,14 @@ def fit_language(docs: DataFrame) -> LanguageModel:
     landmarks = presence(rows["grams"].iloc[marks])
     values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
     whiten = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
-    kernel = np.concatenate([presence(rows["grams"].iloc[i : i + 256]) @ landmarks.T for i in range(0, len(rows), 256)])
-    features = kernel.astype(np.float64) @ whiten
-    y = np.where((rows["lang"].to_numpy()[:, None] == np.array(languages)[None, :]), 1.0, -1.0)
-    gram = features.T @ features + RIDGE * len(rows) * np.eye(features.shape[1]) / features.shape[1]
-    return LanguageModel(languages, landmarks.T.astype(np.float64) @ (whiten @ np.linalg.solve(gram, features.T @ y)))
+    # Summed over blocks of rows: memory grows with the landmarks only.
+    gram = RIDGE * len(rows) * np.eye(len(marks)) / len(marks)
+    target = np.zeros((len(marks), len(languages)))
+    for i in range(0, len(rows), 256):
+        features = (presence(rows["grams"].iloc[i : i + 256]) @ landmarks.T).astype(np.float64) @ whiten
+        gram += features.T @ features
+        target += features.T @ np.where(rows["lang"].to_numpy()[i : i + 256, None] == np.array(languages)[None, :], 1.0, -1.0)
+    return LanguageModel(languages, landmarks.T.astype(np.float64) @ (whiten @ np.linalg.solve(gram, target)))
 
 
 def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:

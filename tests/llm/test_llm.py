@@ -174,6 +174,24 @@ def test_toxicity_and_language_on_held_out_rows(spark, empty):
     assert language.predict_language(docs, none).where("lang_pred <> 'und'").count() == 0
 
 
+def test_rare_language_is_learned(spark):
+    """A language with one of 10,000 rows keeps all its rows of a table far larger than the sample."""
+    rare = F.col("id") % 10_000 == 11  # none of these was in the one sample of the whole table
+    word = lambda i, *options: F.element_at(F.array(*map(F.lit, options)), (F.shiftright("id", i) % len(options) + 1).cast("int"))
+    common = F.concat_ws(" ", *(word(i, "the", "thing", "with", "and", "that") for i in range(6)))
+    second = F.concat_ws(" ", *(word(i, "kuu", "mõis", "laul", "jõgi", "vesi") for i in range(6)))
+    other = F.concat_ws(" ", *(word(i, "ñada", "qué", "ólo", "ñus", "zéta") for i in range(6)))
+    lang = F.when(rare, "xx").when(F.col("id") % 2 == 0, "en").otherwise("ee")
+    docs = spark.range(0, 300_000, 1, 8).select(F.col("id").alias("doc_id"), F.when(rare, other).when(F.col("id") % 2 == 0, common).otherwise(second).alias("text"), lang.alias("lang"))
+    train = docs.where(~language.held_out(F.col("doc_id")))
+    kept = {r.lang: r["count"] for r in language.fit_rows(train).groupBy("lang").count().collect()}
+    assert kept["xx"] == train.where("lang = 'xx'").count() and sum(kept.values()) < 1.2 * language.MAX_ROWS
+    model = language.fit_language(docs)
+    assert model.languages == ["ee", "en", "xx"]
+    found = language.predict_language(docs.where("doc_id % 10000 = 11 OR doc_id < 2000"), model)
+    assert found.join(docs.select("doc_id", "lang"), "doc_id").where("lang <> lang_pred").isEmpty()
+
+
 def test_line_dedup(spark):
     line = lambda s, n=30: " ".join(f"{s}{i}" for i in range(n))
     a = [line("a"), line("b"), line("c"), "short line", line("d", 60)]
