@@ -1,16 +1,19 @@
 """Surrogates for personal data, with DataFrame expressions only.
 
-Entities are found by one pattern of typed alternatives. Every distinct value gets a surrogate made
-from a keyed hash of (type, value, attempt): digits become digits and letters become letters of the
-same case and script, in the places they had, so format and length stay; addresses move to the
-private 10.0.0.0/8, mail to example domains, card numbers keep a right check digit if they had one.
-A name after a form of address gets a given name of the same gender and script, and a family name
-built from the syllables of that script. Equal values get equal surrogates in every document
-(coreference).
-
-Collision checks: a surrogate that another value has too, or that is itself a value of the corpus,
-goes to the next attempt, until none is left; so distinct values stay distinct. Each round touches
-only the values that still collide.
+Entities are found by one pattern of typed alternatives. What a mention stands for is its key: the
+digits of a phone or card number, with the plus of an international one; each given name with the
+gender of its form of address, and the family name, in small letters; else the value itself. Every
+distinct key gets a surrogate made from a keyed hash of (type, key, attempt), and the mention is
+written with it in its own format: digits go where it had digits, names in its capitals after its
+form of address. So equal keys get equal surrogates in every document (coreference), whatever the
+format. Letters become letters of the same case and script; addresses move to the private 10.0.0.0/8,
+mail to example domains, card numbers keep a right check digit if they had one, phone numbers their
+country code. A given name comes from a list by gender and script, a family name is built from the
+syllables of the script; particles in small letters (van, de) stay.
+
+Collision checks: a surrogate that another key has too, or that is itself a key of the corpus,
+goes to the next attempt, until none is left; so distinct keys stay distinct. Each round touches
+only the keys that still collide.
 
 Cases: a null text stays null, an empty one empty; texts without entities are passed on as they
 are. Repeated rows give repeated, equal rows. An empty table gives no rows. Other columns stay,
@@ -38,13 +41,34 @@ SYLLABLES = {
     "cyrillic": ("бар", "вел", "гор", "дан", "жел", "зор", "кал", "лен", "мир", "нов", "пол", "рем", "сав", "тур", "хол", "чер"),
 }
 _JUNK = r"[^\w\n]{1,5}"
+_GAP = r"[ ./() ‐-–-]"
+_TITLES = "|".join([t for x in MALE + FEMALE for t in (x, x.upper())])
+_PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "ter", "zu", "bin", "al", "el")
+_PARTICLE = "(?:" + "|".join(_PARTICLES) + ") "
+# Initials, or words of any letters, hyphens and apostrophes behind a capital.
+_PART = rf"(?:\p{{Lu}}\.(?= ?\p{{Lu}}| {_PARTICLE})|\p{{Lu}}[\p{{L}}\p{{M}}]*+(?:['’-][\p{{L}}\p{{M}}]++)*+)"
 PATTERNS = {
     "email": r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}",
-    "phone": rf"\+\d{{1,3}}{_JUNK}\d{{3}}{_JUNK}\d{{3}}{_JUNK}\d{{4}}(?!\d)",
+    # International in groups of 3-3-4 with junk between them, or in any groups; with the area in
+    # brackets; 3-3-4; pairs behind 0x; area code with 0.
+    "phone": (
+        rf"\+\d{{1,3}}{_JUNK}\d{{3}}{_JUNK}\d{{3}}{_JUNK}\d{{4}}(?!\d)"
+        rf"|\+\d(?:{_GAP}{{0,3}}\d){{7,14}}(?!\d)"
+        rf"|(?<![\w+])\(\d{{2,5}}\){_GAP}{{0,2}}\d{{3,4}}{_GAP}?\d{{3,6}}(?!\d)"
+        r"|(?<![\w.+-])\d{3}[-. ]\d{3}[-. ]\d{4}(?!\d)"
+        r"|(?<![\w.+-])0\d(?:[ .-]?\d{2}){4}(?!\d)"
+        r"|(?<![\w.+-])(?=0\d{2}(?:[ /-]?\d){5,12}(?!\d))0\d{2,4}(?:[ /-]\d{2,8}){1,4}(?!\d)"
+    ),
     "card": r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d])(?!\.\d)",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
-    "name": r"(?<!\p{L})(?:" + "|".join(MALE + FEMALE) + r")\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    # Hexadecimal digits; keys with a known prefix; web tokens; 32 or more characters of all three sorts.
+    "secret": (
+        r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"
+        r"|(?<![\w-])(?:[spr]k[-_][\w-]{16,}|gh[opsur]_\w{30,}|github_pat_\w{30,}|glpat-[\w-]{20,}|xox[abprs]-[\w-]{10,}|AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|AIza[\w-]{35})(?![\w-])"
+        r"|(?<![\w.-])eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,}"
+        r"|(?<![\w-])(?=[\w-]{32})(?=[^\d\s]{0,99}\d)(?=[^A-Z\s]{0,99}[A-Z])(?=[^a-z\s]{0,99}[a-z])[0-9A-Za-z_-]{32,}(?![\w-])"
+    ),
+    "name": rf"(?<!\p{{L}})(?:{_TITLES})\.? (?:{_PARTICLE}){{0,2}}{_PART}(?: (?:{_PARTICLE}){{0,2}}{_PART}){{0,5}}+",
 }
 # Secrets come before cards: a long row of digits in hexadecimal is no card.
 ORDER = ("email", "secret", "ip", "phone", "card", "name")
@@ -63,6 +87,44 @@ def entity_type(value: Column) -> Column:
     return out.otherwise("name")
 
 
+# The country code of an international number, or the 0 of an area code.
+_LEAD = "^([+](1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})|0)"
+
+
+def entity_keys(kind: Column, value: Column) -> Column:
+    """Array of (kind, value) that a mention stands for: one, or one for each part of a name."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    gender = F.when(F.lower(value).rlike("^(" + "|".join(x.lower() for x in FEMALE) + ")[. ]"), "given_f").otherwise("given_m")
+    parts = F.filter(_name_parts(value), lambda x: ~x.isin(*_PARTICLES))
+    last = F.size(parts) - 1
+    names = F.transform(parts, lambda x, i: F.struct(F.when(i == last, "family").otherwise(gender).alias("kind"), F.lower(x).alias("value")))
+    one = lambda v: F.array(F.struct(kind.alias("kind"), v.alias("value")))
+    number = F.when(kind == "phone", F.concat(F.when(value.startswith("+"), "+").otherwise(""), digits)).otherwise(digits)
+    return F.when(kind == "name", names).when(kind.isin("phone", "card"), one(number)).otherwise(one(value))
+
+
+def _name_parts(value: Column) -> Column:
+    """Words behind the form of address."""
+    words = F.split(value, " ")
+    return F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
+
+
+def written(kind: Column, value: Column, new: Column) -> Column:
+    """The mention with the surrogates ``new`` of its keys, in its own format."""
+    first = F.get(new, F.lit(0))
+    digits = F.regexp_replace(first, "[^0-9]", "")
+    at = lambda i: F.length(F.regexp_replace(value.substr(F.lit(1), i), "[^0-9]", ""))
+    char = lambda i: value.substr(i, F.lit(1))
+    number = F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.when(char(i).rlike("[0-9]"), digits.substr(at(i), F.lit(1))).otherwise(char(i))), "")
+    parts = F.filter(_name_parts(value), lambda x: ~x.isin(*_PARTICLES))
+    initial = lambda x: F.array_join(F.transform(F.split(x, "-"), lambda y: F.initcap(y)), "-")
+    cased = F.transform(F.arrays_zip(parts.alias("old"), new.alias("new")), lambda x: F.when((F.length(x.old) > 2) & (x.old == F.upper(x.old)), F.upper(x.new)).otherwise(initial(x.new)))
+    # Particles stay, in front of the family name.
+    kept = F.filter(_name_parts(value), lambda x: x.isin(*_PARTICLES))
+    head = F.concat(F.array(F.substring_index(value, " ", 1)), F.slice(cased, 1, F.greatest(F.size(cased) - 1, F.lit(0))), kept, F.slice(cased, F.greatest(F.size(cased), F.lit(1)), F.lit(1)))
+    return F.when(kind == "name", F.array_join(head, " ")).when(kind.isin("phone", "card"), number).otherwise(first)
+
+
 def _digest(key: str, value: Column, attempt: Column) -> Column:
     """Hexadecimal digits of the keyed hash; as many as the longest value may use up."""
     part = [F.sha2(F.concat_ws("|", F.lit(key), F.lit(str(i)), attempt.cast("string"), value), 256) for i in range(4)]
@@ -109,27 +171,22 @@ def with_surrogates(values: DataFrame, key: str) -> DataFrame:
         f"CASE WHEN kind = 'card' AND {_check_sum('__o')} % 10 = 0 THEN "
         f"concat(substr(__r, 1, length(__r) - 1), cast((10 - {_check_sum('__z')} % 10) % 10 as string)) ELSE __r END"
     )
-    # Country code and brackets of a phone number stay, and so does its middle group.
-    phone = (
-        "concat(regexp_extract(value, '^[+][0-9]{1,3}', 0), "
-        "substr(__r, length(regexp_extract(value, '^[+][0-9]{1,3}', 0)) + 1))"
-    )
+    # The country code stays, or the 0 of an area code.
+    lead = f"regexp_extract(value, '{_LEAD}', 0)"
+    phone = f"concat({lead}, substr(__r, length({lead}) + 1))"
     script = "CASE WHEN value RLIKE '\\\\p{IsCyrillic}' THEN 'cyrillic' ELSE 'latin' END"
-    gender = "CASE WHEN value RLIKE '^(" + "|".join(FEMALE) + ")[. ]' THEN 'f' ELSE 'm' END"
-
     def pick(options: tuple[str, ...], at: int) -> str:
         return "element_at(array(" + ", ".join(f"'{x}'" for x in options) + f"), 1 + {byte(at)} % {len(options)})"
 
-    given = "CASE " + " ".join(f"WHEN {script} = '{s}' AND {gender} = '{g}' THEN {pick(names, 0)}" for (s, g), names in GIVEN.items()) + " END"
-    syllables = {s: f"concat({', '.join(pick(x, i) for i in range(1, 5))}, array_join(transform(sequence(0, attempt), i -> CASE WHEN i = 0 THEN '' ELSE {pick(x, 9)} END), ''))" for s, x in SYLLABLES.items()}
-    family = f"initcap(CASE WHEN {script} = 'cyrillic' THEN {syllables['cyrillic']} ELSE {syllables['latin']} END)"
-    # "Title Name" or "Title Given Family".
-    name = (
-        f"concat_ws(' ', substring_index(value, ' ', 1), CASE WHEN size(split(value, ' ')) > 2 THEN {given} END, {family})"
-    )
+    more = lambda x: f"array_join(transform(sequence(0, attempt), i -> CASE WHEN i = 0 THEN '' ELSE {x} END), '')"
+    # One more name or syllable for each attempt; the byte differs from step to step.
+    step = lambda x: f"element_at(array({', '.join(repr(o) for o in x)}), 1 + cast(conv(substr(__d, 20 + (2 * i) % 200, 2), 16, 10) as int) % {len(x)})"
+    given = "lower(CASE " + " ".join(f"WHEN {script} = '{s}' AND kind = 'given_{g}' THEN concat({pick(names, 0)}, {more(f"concat('-', {step(names)})")})" for (s, g), names in GIVEN.items()) + " END)"
+    syllables = {s: f"concat({', '.join(pick(x, i) for i in range(1, 5))}, {more(step(x))})" for s, x in SYLLABLES.items()}
+    family = f"CASE WHEN {script} = 'cyrillic' THEN {syllables['cyrillic']} ELSE {syllables['latin']} END"
     surrogate = (
         f"CASE kind WHEN 'email' THEN {email} WHEN 'ip' THEN {ip} WHEN 'card' THEN {card} "
-        f"WHEN 'phone' THEN {phone} WHEN 'name' THEN {name} ELSE __r END"
+        f"WHEN 'phone' THEN {phone} WHEN 'given_m' THEN {given} WHEN 'given_f' THEN {given} WHEN 'family' THEN {family} ELSE __r END"
     )
     return df.withColumn("surrogate", F.expr(surrogate)).drop("__d", "__r", "__o", "__n", "__z")
 
@@ -143,7 +200,7 @@ def assign_surrogates(values: DataFrame, key: str) -> DataFrame:
     known = materialise(with_surrogates(values.withColumn("attempt", F.lit(0)), key), "surrogates")
     while True:
         taken = known.select(F.col("value").alias("surrogate")).distinct().withColumn("__taken", F.lit(True))
-        order = F.row_number().over(Window.partitionBy("surrogate").orderBy("attempt", "value"))
+        order = F.row_number().over(Window.partitionBy("surrogate").orderBy("attempt", "value", "kind"))
         judged = known.withColumn("__n", order).join(taken, "surrogate", "left").withColumn("again", (F.col("__n") > 1) | F.col("__taken").isNotNull())
         if judged.where("again").isEmpty():
             return known
@@ -162,8 +219,14 @@ def replace_entities(docs: DataFrame, key: str = "surrogate-key", report: str |
     k1, k2 = F.xxhash64(text).alias("__k1"), F.xxhash64(text, F.lit(1)).alias("__k2")
     texts = materialise(hit.select(k1, k2, F.col("__found").alias("found")).groupBy("__k1", "__k2").agg(F.any_value("found").alias("found")), "entities")
     each = texts.select("__k1", "__k2", F.posexplode("found").alias("pos", "value"))
-    values = each.select("value").distinct().select(entity_type(F.col("value")).alias("kind"), "value")
-    known = assign_surrogates(values, key).select("value", "surrogate")
+    kind, value = F.col("kind"), F.col("value")
+    values = each.select("value").distinct().select(entity_type(value).alias("kind"), "value")
+    keys = materialise(values.select("kind", "value", F.posexplode(entity_keys(kind, value)).alias("at", "k")), "keys")
+    surrogates = assign_surrogates(keys.select("k.kind", "k.value").distinct(), key).select(F.col("kind").alias("k_kind"), F.col("value").alias("k_value"), "surrogate")
+    mentions = keys.withColumns({"k_kind": F.col("k.kind"), "k_value": F.col("k.value")}).join(surrogates, ["k_kind", "k_value"]).groupBy("kind", "value").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("at", "surrogate"))), lambda x: x.surrogate).alias("new")
+    )
+    known = mentions.select("value", written(kind, value, F.col("new")).alias("surrogate"))
     lists = each.join(known, "value").groupBy("__k1", "__k2").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "surrogate"))), lambda x: x.surrogate).alias("__new")
     )
