@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_pipeline import ORACLE_SQL, run
-from fundlens.llm import chat, decontaminate, language, line_dedup, mixing, ngram_join, pii, quality_rules, token_counts, toxicity
+from fundlens.llm import chat, decontaminate, language, line_dedup, mixing, ngram_join, pii, quality_rules, simhash, token_counts, toxicity
 from fundlens.llm.registry import QUERIES, SQL, query, table
 from fundlens.session import materialise
 
@@ -127,5 +127,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, distance=2)
+
+
 def all_queries() -> tuple[dict, dict]:
     return {**QUERIES, "pipeline": run}, {**SQL, **({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})}
