@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_pipeline import ORACLE_SQL, run
-from fundlens.llm import chat, decontaminate, language, line_dedup, mixing, ngram_join, pii, quality_rules, simhash, token_counts, toxicity, whitening
+from fundlens.llm import chat, decontaminate, language, line_dedup, mixing, ngram_join, pii, quality_rules, simhash, token_align, token_counts, toxicity, whitening
 from fundlens.llm.registry import QUERIES, SQL, query, table
 from fundlens.session import materialise
 
@@ -137,5 +137,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten_embeddings(table(spark, sf_dir, "embeddings"), components=4)
 
 
+@query()
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align_corpus(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> tuple[dict, dict]:
     return {**QUERIES, "pipeline": run}, {**SQL, **({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})}
