@@ -11,13 +11,18 @@ mail to example domains, card numbers keep a right check digit if they had one,
 country code. A given name comes from a list by gender and script, a family name is built from the
 syllables of the script; particles in small letters (van, de) stay.
 
+A number that looks like a card but fails its check digit is no card and stays as it is.
+
 Collision checks: a surrogate that another key has too, or that is itself a key of the corpus,
 goes to the next attempt, until none is left; so distinct keys stay distinct. Each round touches
-only the keys that still collide.
+only the keys that still collide. Later attempts draw from larger spaces: longer names, more mail
+hosts, and for addresses the reserved 240.0.0.0/4 as well. Phone and card numbers keep their length;
+keys that have no free value after ``MAX_ATTEMPTS`` raise an error.
 
 Cases: a null text stays null, an empty one empty; texts without entities are passed on as they
 are. Repeated rows give repeated, equal rows. An empty table gives no rows. Other columns stay,
-whatever their names.
+whatever their names. Every repeated group of the pattern is bounded or possessive, so very long
+runs of any characters neither recurse nor backtrack over each other.
 """
 
 from __future__ import annotations
@@ -40,6 +45,7 @@ SYLLABLES = {
     "latin": ("ba", "del", "fen", "gor", "hal", "kem", "lin", "mor", "nas", "pel", "ras", "sel", "tam", "vor", "wen", "zim"),
     "cyrillic": ("бар", "вел", "гор", "дан", "жел", "зор", "кал", "лен", "мир", "нов", "пол", "рем", "сав", "тур", "хол", "чер"),
 }
+MAX_ATTEMPTS = 40
 _JUNK = r"[^\w\n]{1,5}"
 _GAP = r"[ ./() ‐-–-]"
 _TITLES = "|".join([t for x in MALE + FEMALE for t in (x, x.upper())])
@@ -48,7 +54,8 @@ _PARTICLE = "(?:" + "|".join(_PARTICLES) + ") "
 # Initials, or words of any letters, hyphens and apostrophes behind a capital.
 _PART = rf"(?:\p{{Lu}}\.(?= ?\p{{Lu}}| {_PARTICLE})|\p{{Lu}}[\p{{L}}\p{{M}}]*+(?:['’-][\p{{L}}\p{{M}}]++)*+)"
 PATTERNS = {
-    "email": r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}",
+    # A name in the domain system has at most 126 labels below its last one, of 63 characters at most.
+    "email": r"(?<![\w.+-])[\w.+-]++@(?:[\w-]{1,63}\.){1,126}[A-Za-z]{2,63}",
     # International in groups of 3-3-4 with junk between them, or in any groups; with the area in
     # brackets; 3-3-4; pairs behind 0x; area code with 0.
     "phone": (
@@ -60,7 +67,7 @@ PATTERNS = {
         r"|(?<![\w.+-])(?=0\d{2}(?:[ /-]?\d){5,12}(?!\d))0\d{2,4}(?:[ /-]\d{2,8}){1,4}(?!\d)"
     ),
     "card": r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)",
-    "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d])(?!\.\d)",
+    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d])(?!\.\d)",
     # Hexadecimal digits; keys with a known prefix; web tokens; 32 or more characters of all three sorts.
     "secret": (
         r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"
@@ -72,7 +79,12 @@ PATTERNS = {
 }
 # Secrets come before cards: a long row of digits in hexadecimal is no card.
 ORDER = ("email", "secret", "ip", "phone", "card", "name")
-PATTERN = "|".join(f"(?:{PATTERNS[k]})" for k in ORDER)
+# The first character tells which kinds can begin at it, so most places are left at once.
+PATTERN = "|".join((
+    r"(?=[\d+(])(?:" + "|".join(PATTERNS[k] for k in ORDER[:-1]) + ")",
+    rf"(?<![A-Za-z])(?=[A-Za-z_.-])(?:{PATTERNS['email']}|{PATTERNS['secret']})",
+    rf"(?=\p{{Lu}}){PATTERNS['name']}",
+))
 
 
 def found_entities(text: Column) -> Column:
@@ -84,7 +96,16 @@ def entity_type(value: Column) -> Column:
     for kind in ORDER:
         hit = value.rlike(f"^(?:{PATTERNS[kind]})$")
         out = F.when(hit, kind) if out is None else out.when(hit, kind)
-    return out.otherwise("name")
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    return F.when((out.otherwise("name") == "card") & (check_sum(digits) % 10 != 0), "number").otherwise(out.otherwise("name"))
+
+
+def check_sum(digits: Column) -> Column:
+    """Luhn sum of a string of digits, whose last digit counts once."""
+    digit = lambda i: digits.substr(F.length(digits) - i, F.lit(1)).cast("int")
+    twice = lambda d: 2 * d - F.when(d > 4, 9).otherwise(0)
+    steps = F.sequence(F.lit(0), F.length(digits) - 1)
+    return F.aggregate(steps, F.lit(0), lambda s, i: s + F.when(i % 2 == 1, twice(digit(i))).otherwise(digit(i)))
 
 
 # The country code of an international number, or the 0 of an area code.
@@ -134,9 +155,9 @@ def _digest(key: str, value: Column, attempt: Column) -> Column:
 def _reshaped(value: str, digest: str) -> str:
     """SQL: digits and letters replaced in place; the hash is used again after 128 characters."""
     byte = f"cast(conv(substr({digest}, 1 + (2 * i) % 256, 2), 16, 10) as int)"
-    c = f"substr({value}, i + 1, 1)"
-    return (
-        f"array_join(transform(sequence(0, length({value}) - 1), i -> CASE "
+    c = "c"
+    return (  # split into characters: substr would count from the start for each
+        f"array_join(transform(split({value}, ''), (c, i) -> CASE "
         f"WHEN {c} RLIKE '[0-9]' THEN cast({byte} % 10 as string) "
         f"WHEN {c} RLIKE '[a-z]' THEN char(97 + {byte} % 26) "
         f"WHEN {c} RLIKE '[A-Z]' THEN char(65 + {byte} % 26) "
@@ -161,8 +182,9 @@ def with_surrogates(values: DataFrame, key: str) -> DataFrame:
     df = df.withColumn("__r", F.expr(_reshaped("value", "__d")))
     byte = lambda i: f"cast(conv(substr(__d, {1 + 2 * i}, 2), 16, 10) as int)"
     capital = lambda c: f"CASE WHEN value = upper(value) THEN upper({c}) ELSE {c} END"
-    email = capital(f"concat(substring_index(__r, '@', 1), '@mail', {byte(100)}, '.example.', CASE WHEN {byte(101)} % 2 = 0 THEN 'org' ELSE 'net' END)")
-    ip = f"concat_ws('.', '10', {byte(0)}, {byte(1)}, {byte(2)})"
+    host = "conv(substr(__d, 205, 2 + 2 * least(attempt, 5)), 16, 10)"
+    email = capital(f"concat(substring_index(__r, '@', 1), '@mail', {host}, '.example.', CASE WHEN {byte(101)} % 2 = 0 THEN 'org' ELSE 'net' END)")
+    ip = f"concat_ws('.', CASE WHEN attempt < 2 THEN 10 ELSE 240 + {byte(3)} % 15 END, {byte(0)}, {byte(1)}, {byte(2)})"
     # A card that passes the check keeps passing: its last digit is set anew.
     df = df.withColumn("__o", F.regexp_replace("value", "[^0-9]", "")).withColumn("__n", F.regexp_replace("__r", "[^0-9]", ""))
     head = "concat(substr(__n, 1, length(__n) - 1), '0')"
@@ -198,42 +220,55 @@ def assign_surrogates(values: DataFrame, key: str) -> DataFrame:
     attempt and then the smallest value stays.
     """
     known = materialise(with_surrogates(values.withColumn("attempt", F.lit(0)), key), "surrogates")
-    while True:
-        taken = known.select(F.col("value").alias("surrogate")).distinct().withColumn("__taken", F.lit(True))
-        order = F.row_number().over(Window.partitionBy("surrogate").orderBy("attempt", "value", "kind"))
-        judged = known.withColumn("__n", order).join(taken, "surrogate", "left").withColumn("again", (F.col("__n") > 1) | F.col("__taken").isNotNull())
+    taken = values.select(F.col("value").alias("surrogate"), F.lit(True).alias("taken")).distinct()
+    this = F.struct("attempt", "value", "kind")
+    for _ in range(MAX_ATTEMPTS):
+        # A minimum, not a rank in a window: many values may share a surrogate in the first rounds.
+        first = known.groupBy("surrogate").agg(F.min(this).alias("first"))
+        judged = known.join(first, "surrogate").join(taken, "surrogate", "left").withColumn("again", (F.col("first") != this) | F.col("taken").isNotNull())
+        judged = materialise(judged.select("kind", "value", "attempt", "surrogate", "again"), "judged")
         if judged.where("again").isEmpty():
             return known
         next_try = with_surrogates(judged.where("again").select("kind", "value", (F.col("attempt") + 1).alias("attempt")), key)
-        kept = judged.where("NOT again").select("kind", "value", "attempt", "surrogate")
-        known = materialise(kept.unionByName(next_try), "surrogates")
+        known = materialise(judged.where("NOT again").drop("again").unionByName(next_try), "surrogates")
+    kinds = [r.kind for r in judged.where("again").select("kind").distinct().collect()]
+    raise ValueError(f"no free surrogates left for some values of {', '.join(sorted(kinds))}")
 
 
-def replace_entities(docs: DataFrame, key: str = "surrogate-key", report: str | None = None) -> DataFrame:
-    """``docs`` with every entity of ``text`` replaced; ``report`` adds their number under that name."""
+def replace_entities(docs: DataFrame, key: str, report: str | None = None) -> DataFrame:
+    """``docs`` with every entity of ``text`` replaced under the secret ``key``.
+
+    ``report`` adds their number under that name, which must not be a column of ``docs``.
+    """
     columns = list(docs.columns)
-    text = F.col("text")
-    tagged = docs.withColumn("__found", F.coalesce(found_entities(text), F.array().cast("array<string>")))
-    hit = tagged.where("size(__found) > 0")
+    if report in columns:
+        raise ValueError(f"docs has a column {report}")
+    # The pattern looks at each text once; only what it found is worked on.
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    found = F.coalesce(found_entities(F.col("text").cast("string")), F.array().cast("array<string>"))
+    tagged = materialise(docs.select(row, found.alias("found")), "tagged")
+    text = F.col("row.text").cast("string")
     # Equal texts have equal results: each is worked on once, under a 128-bit hash.
-    k1, k2 = F.xxhash64(text).alias("__k1"), F.xxhash64(text, F.lit(1)).alias("__k2")
-    texts = materialise(hit.select(k1, k2, F.col("__found").alias("found")).groupBy("__k1", "__k2").agg(F.any_value("found").alias("found")), "entities")
-    each = texts.select("__k1", "__k2", F.posexplode("found").alias("pos", "value"))
+    hit = tagged.where("size(found) > 0").select("row", "found", F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"))
+    texts = materialise(hit.groupBy("k1", "k2").agg(F.any_value("found").alias("found")), "entities")
+    each = texts.select("k1", "k2", F.posexplode("found").alias("pos", "value"))
     kind, value = F.col("kind"), F.col("value")
-    values = each.select("value").distinct().select(entity_type(value).alias("kind"), "value")
-    keys = materialise(values.select("kind", "value", F.posexplode(entity_keys(kind, value)).alias("at", "k")), "keys")
+    values = materialise(each.select("value").distinct().select(entity_type(value).alias("kind"), "value"), "values")
+    keys = materialise(values.where("kind <> 'number'").select("kind", "value", F.posexplode(entity_keys(kind, value)).alias("at", "k")), "keys")
     surrogates = assign_surrogates(keys.select("k.kind", "k.value").distinct(), key).select(F.col("kind").alias("k_kind"), F.col("value").alias("k_value"), "surrogate")
     mentions = keys.withColumns({"k_kind": F.col("k.kind"), "k_value": F.col("k.value")}).join(surrogates, ["k_kind", "k_value"]).groupBy("kind", "value").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("at", "surrogate"))), lambda x: x.surrogate).alias("new")
     )
-    known = mentions.select("value", written(kind, value, F.col("new")).alias("surrogate"))
-    lists = each.join(known, "value").groupBy("__k1", "__k2").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "surrogate"))), lambda x: x.surrogate).alias("__new")
+    known = mentions.select("value", written(kind, value, F.col("new")).alias("surrogate"), F.lit(1).alias("real")).unionByName(
+        values.where("kind = 'number'").select("value", value.alias("surrogate"), F.lit(0).alias("real"))
+    )
+    lists = each.join(known, "value").groupBy("k1", "k2").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "surrogate"))), lambda x: x.surrogate).alias("new"), F.sum("real").alias("n")
     )
-    pieces = F.split("text", PATTERN, -1)
-    joined = hit.withColumns({"__k1": k1, "__k2": k2}).join(lists, ["__k1", "__k2"]).withColumn("__p", pieces)
-    filled = F.array_join(F.expr("transform(__p, (p, i) -> concat(p, coalesce(get(__new, i), '')))"), "")
-    counted = [F.size("__found").cast("long").alias(report)] if report else []
-    done = joined.select(*[filled.alias("text") if c == "text" else F.col(f"`{c}`") for c in columns], *counted)
-    rest = tagged.where("size(__found) = 0").select(*[F.col(f"`{c}`") for c in columns], *counted)
+    joined = hit.join(lists, ["k1", "k2"]).select("row", "new", "n", F.split(text, PATTERN, -1).alias("pieces"))
+    filled = F.array_join(F.expr("transform(pieces, (p, i) -> concat(p, coalesce(get(new, i), '')))"), "")
+    kept = lambda c: F.col(f"row.`{c}`").alias(c)
+    counted = lambda n: [n.cast("long").alias(report)] if report else []
+    done = joined.select(*[filled.alias("text") if c == "text" else kept(c) for c in columns], *counted(F.col("n")))
+    rest = tagged.where("size(found) = 0").select(*map(kept, columns), *counted(F.lit(0)))
     return rest.unionByName(done)

@@ -95,7 +95,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.replace_entities(docs, report="n_entities")
+    return pii.replace_entities(docs, key="op8-key", report="n_entities")
 
 
 _ESC = "replace(replace(replace({0}, '\\', '\\b'), '<', '\\l'), '>', '\\g')"
