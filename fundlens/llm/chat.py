@@ -9,8 +9,8 @@ or g, so a control string never occurs in them and the texts can be read back ex
 assistant's texts and nothing else.
 
 Cases: a null text or role is empty. Turns are sorted by (turn, role, text), a null turn first, so
-ties have one order; repeated rows are repeated turns. Rows without conv_id form one conversation.
-An empty table gives no rows. Other columns are not read.
+ties have one order; repeated rows are repeated turns. A row without conv_id is a conversation of
+its own, so that such rows don't meet in one task. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,12 +37,15 @@ def unescape(text: Column) -> Column:
 def format_conversations(turns: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
     """(conv_id, formatted, segments) from rows (conv_id, turn, role, text)."""
     plain = turns.select(
-        "conv_id", "turn",
-        escape(F.coalesce(F.col("role").cast("string"), F.lit(""))).alias("role"),
-        escape(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"),
-        F.coalesce(F.col("role") == loss_role, F.lit(False)).alias("loss"),
+        "conv_id", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("own"), "turn",
+        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    )
+    # Sorted as they are and escaped then: escapes have an order of their own.
+    collected = plain.groupBy("conv_id", "own").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    collected = collected.select(
+        "conv_id",
+        F.transform("turns", lambda t: F.struct(escape(t.role).alias("role"), escape(t.text).alias("text"), (t.role == loss_role).alias("loss"))).alias("turns"),
     )
-    collected = plain.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "loss"))).alias("turns"))
     # First positions of the blocks, then each block from its first turn to the next block's.
     firsts = collected.select(
         "conv_id", "turns",

@@ -12,14 +12,13 @@ by a hash of doc_id: about ``MAX_ROWS`` in proportion to the languages, and of a
 get fewer than ``LEAST_ROWS`` about that many, or all it has. So no language drops out, whatever its
 share, and the rows to fit are bounded by ``MAX_ROWS`` and the number of languages.
 
-Cases: a null text, or one without a letter, is ``und`` with score 0; so is every text if there is
+Cases: a null text, or one without a letter (Unicode category L), is ``und`` with score 0; so is every text if there is
 nothing to learn from. A language is any non-null lang of the training rows, those with a text and
 not held out. Rows without doc_id are scored but not learned from. Repeated rows score alike. Other columns aren't read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +35,6 @@ MAX_ROWS = 4096
 LANDMARKS = 48  # of each language
 LEAST_ROWS = 2 * LANDMARKS  # of each language, on average; under 48 in one of a million samples
 RIDGE = 1e-2
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 class LanguageModel:
@@ -60,7 +58,7 @@ class LanguageModel:
                 top = p.argmax(1)
                 for i in range(b - a):
                     text = texts[lo + a + i]
-                    if text and _LETTER.search(text):
+                    if text and any(map(str.isalpha, text)):  # Unicode category L
                         best[lo + a + i] = self.languages[top[i]]
                         score[lo + a + i] = p[i, top[i]]
         return best, score

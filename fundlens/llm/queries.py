@@ -100,15 +100,15 @@ def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ESC = "replace(replace(replace({0}, '\\', '\\b'), '<', '\\l'), '>', '\\g')"
 OP9_SQL = f"""WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
-s AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) IS NOT DISTINCT FROM role AS same FROM t)
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, NULL, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, NULL, 1, 'assistant', '\\### Assistant: </turn> ok'),
+s AS (SELECT *, lag(role) OVER (PARTITION BY conv_id, own ORDER BY turn NULLS FIRST, role, text) IS NOT DISTINCT FROM role AS same FROM t)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length({_ESC.format("text")}) + CASE WHEN same THEN 6 ELSE length({_ESC.format("role")}) + 13 END) AS BIGINT) AS formatted_chars
-FROM s GROUP BY conv_id"""
+FROM s GROUP BY conv_id, own"""
 
 
 @query(OP9_SQL)

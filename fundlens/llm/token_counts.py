@@ -7,40 +7,30 @@ sums run within blocks of lengths and over the blocks' totals, so no task gets a
 
 Cases: a null or empty text has length 0. Repeated rows count as often as they occur. An empty
 table has an empty histogram; answers for limits are then 0 and quantiles null. Strings of special
-tokens in a text are ordinary text. Other columns aren't read.
+tokens in a text are ordinary text. Other columns aren't read. Long runs of white space are encoded
+apart from the text round them (``vocabulary.ByteVocabulary``), so very long texts of any kind pass.
 """
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fundlens.llm.vocabulary import byte_vocabulary
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-# Fixed value: how this vocabulary splits text before merging.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK = 512  # lengths
 
 
-@lru_cache(maxsize=4)
-def encoding(ranks: str, split: str):
-    import tiktoken
-
-    with open(ranks, "rb") as f:  # vocabularies are installed on every worker
-        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=split, mergeable_ranks=merges, special_tokens={})
-
-
-def length_histogram(docs: DataFrame, ranks: str = RANKS, split: str = SPLIT) -> DataFrame:
+def length_histogram(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """(length, documents) of all rows of ``docs``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(ranks, split).encode_ordinary
+        encode = byte_vocabulary(ranks).encode
         for batch in batches:
             found = np.array([len(encode(t)) if t else 0 for t in batch.column(0).to_pylist()], np.int64)
             length, n = np.unique(found, return_counts=True)

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpus_pipeline import STAGES, run
-from fundlens.llm import chat, decontaminate, language, line_dedup, mixing, ngram_join, pii, quality_rules, queries, token_counts, toxicity
+from fundlens.llm import chat, decontaminate, language, line_dedup, mixing, ngram_join, pii, quality_rules, queries, token_counts, toxicity, vocabulary
+from fundlens.session import materialise
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -158,18 +159,18 @@ def test_toxicity_and_language_on_held_out_rows(spark, empty):
         if i % 5 == 0:
             w[r.randrange(40)] = "grumblefoo"
         rows.append((i, " ".join(w), lang, "s", i % 5 == 0))
-    docs = spark.createDataFrame([(i, t, lang, s) for i, t, lang, s, _ in rows] + [(None, None, "en", "s"), (900, "", None, "s"), (901, "12 34 --", "en", "s")], "doc_id long, text string, lang string, source string")
+    docs = spark.createDataFrame([(i, t, lang, s) for i, t, lang, s, _ in rows] + [(None, None, "en", "s"), (900, "", None, "s"), (901, "12 34 --", "en", "s"), (902, "² ½ ① ٣ _", "en", "s")], "doc_id long, text string, lang string, source string")
     labels = spark.createDataFrame([(i, 1, int(x)) for i, *_, x in rows] + [(None, 1, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
     scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).collect()
     truth = {i: int(x) for i, *_, x in rows}
     held = [s for s in scored if s.held_out]
-    assert len(scored) == 403 and len(held) > 50 and all(0 <= s.score <= 1 for s in scored)
+    assert len(scored) == 404 and len(held) > 50 and all(0 <= s.score <= 1 for s in scored)
     assert sum(s.predicted == truth[s.doc_id] for s in held if s.doc_id in truth) >= 0.95 * len(held)
     assert toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels.limit(0))).where("predicted = 1").count() == 0
     found = language.predict_language(docs, language.fit_language(docs)).collect()
     names = {i: lang for i, _, lang, *_ in rows}
     assert all(f.lang_pred == names[f.doc_id] for f in found if f.doc_id in names)
-    assert {f.lang_pred for f in found if f.doc_id in (None, 900, 901)} == {"und"}
+    assert {f.lang_pred for f in found if f.doc_id in (None, 900, 901, 902)} == {"und"}
     none = language.fit_language(empty)
     assert language.predict_language(docs, none).where("lang_pred <> 'und'").count() == 0
 
@@ -211,7 +212,7 @@ def test_line_dedup(spark):
 
 
 def test_token_counts(spark, docs, rows, empty):
-    encode = token_counts.encoding(token_counts.RANKS, token_counts.SPLIT).encode_ordinary
+    encode = vocabulary.byte_vocabulary(token_counts.RANKS).encode
     lengths = [len(encode(t or "")) for _, t, *_ in rows]
     sums = token_counts.suffix_sums(token_counts.length_histogram(docs)).collect()
     assert {r.length: r.documents for r in sums} == Counter(lengths)
@@ -226,6 +227,19 @@ def test_token_counts(spark, docs, rows, empty):
     assert token_counts.suffix_sums(token_counts.length_histogram(empty)).count() == 0
 
 
+def test_token_counts_of_very_long_texts(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    vocab = vocabulary.byte_vocabulary(token_counts.RANKS)
+    assert vocab.bytes == vocabulary.byte_vocabulary("/opt/tokenizers/byte_bpe_50k.json").bytes
+    texts = [f"a{c * n}{b}" for c in (" ", "\n", "\u3000", "\t ") for n in (4095, 4096, 9000) for b in ("", "b", "'s", "\x1c", " 1")] + ["x" * 50_000]
+    for t in texts:
+        assert vocab.encode(t) == whole.encode(t, add_special_tokens=False).ids
+    table = spark.createDataFrame([(" " * 2_000_000,), ("\n" * 2_000_000,), ("a " * 500_000,)], "text string")
+    assert sorted(r.length for r in token_counts.length_histogram(table).collect()) == [500_001, 1_000_000, 2_000_000]
+
+
 def test_pii(spark):
     texts = [
         "mail ann.07@mail3.example.com or ANN.08@MAIL3.EXAMPLE.COM, +1 (621) 555-4974", "from 169.122.221.182 and 4539578763621486 again ann.07@mail3.example.com",
@@ -320,16 +334,22 @@ def test_chat_round_trip(spark):
     texts = ["\\### Assistant: </turn> ok", "<role:user>", "<end>\n", "\\b\\l<next>", None, "", "é\U0001f600\n"]
     r = random.Random(3)
     rows = [(c, t, r.choice(["user", "assistant", "assistant", "system", None, "a<b>"]), r.choice(texts)) for c in (*range(30), None) for t in range(r.randrange(1, 9))]
-    rows += [(1, None, "user", "no turn"), rows[0], rows[0]]
+    rows += [(1, None, "user", "no turn"), rows[0], rows[0], *[(77, 1, "user", t) for t in ("=a", "<b", ">", "\\", ";")]]
     turns = spark.createDataFrame([(*x, "t") for x in rows], "conv_id long, turn long, role string, text string, turns string")
     formatted = chat.format_conversations(turns)
     by = defaultdict(list)
+    alone = Counter()
     for c, t, role, text in rows:
-        by[c].append((t is not None, t or 0, role or "", text or ""))
-    read = {x.conv_id: x for x in formatted.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns")).collect()}
-    esc = lambda s: s.replace("\\", "\\b").replace("<", "\\l").replace(">", "\\g")
-    for x in chat.digests(formatted).collect():
-        want = sorted(by[x.conv_id], key=lambda t: (t[0], t[1], esc(t[2]).encode(), esc(t[3]).encode()))
+        if c is None:
+            alone[hashlib.sha256(f"{role or ''}\n{text or ''}\n".encode()).hexdigest()] += 1
+        else:
+            by[c].append((t is not None, t or 0, role or "", text or ""))
+    formatted = materialise(formatted, "formatted")
+    told = chat.digests(formatted)
+    assert Counter(x.turns_sha256 for x in told.where("conv_id IS NULL").collect()) == alone and alone.total() > 1
+    read = {x.conv_id: x for x in formatted.where("conv_id IS NOT NULL").select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns")).collect()}
+    for x in told.where("conv_id IS NOT NULL").collect():
+        want = sorted(by[x.conv_id], key=lambda t: (t[0], t[1], t[2].encode(), t[3].encode()))
         assert [(t.role, t.text) for t in read[x.conv_id].turns] == [(t[2], t[3]) for t in want]
         assert x.turns_sha256 == hashlib.sha256("".join(f"{t[2]}\n{t[3]}\n" for t in want).encode()).hexdigest()
         loss = "".join(t[3] for t in want if t[2] == "assistant")
