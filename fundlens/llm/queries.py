@@ -23,8 +23,12 @@ def _shingles_sql(name: str, source: str, key: str, k: int, whole: bool) -> str:
   FROM {name}_words WHERE len(w) >= {k}{short}))"""
 
 
-OP1_SQL = f"""WITH {_shingles_sql("d", "documents", "doc_id", 5, False)},
-{_shingles_sql("b", "(SELECT DISTINCT item_id, text FROM benchmark)", "item_id", 5, False)},
+# Items of fewer than five words: runs of so many words, of the lengths that occur.
+OP1_SQL = f"""WITH {_shingles_sql("dl", "documents", "doc_id", 5, False)},
+{_shingles_sql("b", "(SELECT DISTINCT item_id, text FROM benchmark)", "item_id", 5, True)},
+lengths AS (SELECT DISTINCT len(w) AS n FROM b_words WHERE len(w) BETWEEN 1 AND 4),
+d AS MATERIALIZED (SELECT * FROM dl UNION SELECT doc_id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], chr(10)))) AS g
+  FROM dl_words JOIN lengths ON len(w) >= n),
 n AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id)
 SELECT doc_id, item_id, item_shingles, count(*) AS shared_shingles FROM d JOIN b USING (g) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, item_shingles HAVING 100 * count(*) >= 80 * item_shingles"""

@@ -6,6 +6,7 @@ UTF-8, so bytes give the same words as code points.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,8 @@ _SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STEP = 0x9E3779B97F4A7C15
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -41,7 +43,22 @@ def _power_table(n: int) -> np.ndarray:
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, offsets): the words of text i are ``hashes[offsets[i]:offsets[i + 1]]``."""
-    parts = [(t or "").encode() for t in texts]
+    return _hashes([(t or "").encode() for t in texts])
+
+
+def _pieces(raw: bytes, limit: int) -> Iterator[bytes]:
+    """``raw`` cut at white space into pieces of about ``limit`` bytes."""
+    start = 0
+    while len(raw) - start > limit:
+        gap = _SPACE.search(raw, start + limit)
+        if gap is None:
+            break
+        yield raw[start : gap.start()]
+        start = gap.end()
+    yield raw[start:]
+
+
+def _hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     inside = ~_SEPARATOR[raw]
     edges = np.flatnonzero(np.diff(np.concatenate(([False], inside)).view(np.int8)))
@@ -74,7 +91,11 @@ def slices(texts: list[str | None], limit: int = SLICE_BYTES) -> Iterator[tuple[
     """Ranges of rows with about ``limit`` characters each, so that the arrays stay small."""
     start = size = 0
     for i, t in enumerate(texts):
-        size += len(t or "") + 1
+        here = len(t or "") + 1
+        if start < i and size + here > limit:  # a long text stands alone
+            yield start, i
+            start, size = i, 0
+        size += here
         if size >= limit:
             yield start, i + 1
             start, size = i + 1, 0
@@ -85,6 +106,9 @@ def slices(texts: list[str | None], limit: int = SLICE_BYTES) -> Iterator[tuple[
 def texts_with_words(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
     """(row, its word hashes) for every text."""
     for lo, hi in slices(texts):
+        if hi - lo == 1 and len(texts[lo] or "") > SLICE_BYTES:
+            yield lo, np.concatenate([_hashes([piece])[0] for piece in _pieces(texts[lo].encode(), SLICE_BYTES)])
+            continue
         hashes, offsets = word_hashes(texts[lo:hi])
         for i in range(lo, hi):
             yield i, hashes[offsets[i - lo] : offsets[i - lo + 1]]

@@ -107,16 +107,17 @@ def test_trie_finds_every_component():
                 assert root[i] == root[j]
 
 
-def test_contamination(spark, docs, rows):
+def test_contamination(spark, docs, rows, empty, monkeypatch):
     items = [(i, " ".join(WORD.findall(t)[3:33])) for i, t, *_ in rows[:40] if t and len(WORD.findall(t)) > 40]
-    items += [(-1, None), (-2, ""), (-3, "w1 w2"), items[0], (-4, "none of these words is there at all"), (None, items[1][1])]
+    items += [(-1, None), (-2, ""), (-3, "w1 w2"), items[0], (-4, "none of these words is there at all"), (-5, "alone"), (-6, "x y é\u0085 z"), (-7, "x  Y é\u0085 Z x y"), (None, items[1][1])]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     got = Counter((r.doc_id, r.item_id, r.item_shingles, r.shared_shingles) for r in decontaminate.find_contamination(docs, benchmark).collect())
     want = Counter()
     for d, t, *_ in rows:
         for item, x in set(items):
-            s = shingles(x, 5, whole=False)
-            shared = len(s & shingles(t, 5, whole=False))
+            s = shingles(x, 5)
+            n = len(min(s, key=len)) if s else 5
+            shared = len(s & shingles(t, n, whole=False))
             if s and 100 * shared >= 80 * len(s):
                 want[d, item, len(s), shared] += 1
     assert want and got == want
@@ -124,6 +125,14 @@ def test_contamination(spark, docs, rows):
     kept = decontaminate.remove_contaminated(docs, benchmark)
     assert kept.columns == docs.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter(d for d, *_ in rows if d not in bad)
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 500)  # several blocks
+    again = Counter((r.doc_id, r.item_id, r.item_shingles, r.shared_shingles) for r in decontaminate.find_contamination(docs, benchmark).collect())
+    assert again == want and decontaminate.remove_contaminated(docs, benchmark).count() == kept.count()
+    assert decontaminate.find_contamination(empty, benchmark).count() == decontaminate.find_contamination(docs, benchmark.limit(0)).count() == 0
+    long = " ".join(f"v{i}" for i in range(400_000))
+    one = spark.createDataFrame([(1, long)], "doc_id long, text string")
+    item = spark.createDataFrame([(1, " ".join(f"v{i}" for i in range(299_990, 300_020))), (2, "v7 v8")], "item_id long, text string")
+    assert {(r.item_id, r.shared_shingles) for r in decontaminate.find_contamination(one, item).collect()} == {(1, 26), (2, 1)}
 
 
 def test_text_statistics_and_rules(spark, docs, rows):
