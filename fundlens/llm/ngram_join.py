@@ -17,8 +17,9 @@ Sets are large, so blocks first compare parity bits: every element flips one of
 two sets differ in at least as many elements as their bits do. Only nodes of pairs that this bound
 leaves get their sets, from a second look at their texts.
 
-A block of many nodes is split: in step 2 into parts that each hold the same few anchors, in step 3
-into all pairs of parts.
+A block of many nodes or elements is split: in step 2 into parts that each hold the same few
+anchors, in step 3 into all pairs of parts. So a part's sets have a bounded size together (but for
+a single set that is larger), and what a task holds at a time is a part and a slice of texts.
 
 Cases: a null or wordless text has no shingles and is its own component. A row without doc_id takes
 no part; its component is null. Repeated rows are rows of their own with equal components. Other
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,7 @@ SAMPLE_SHINGLES = 1 << 16  # frequent shingles kept from them
 FREQUENT = 8  # sampled documents that make a shingle frequent
 FILTER_BITS = 1 << 23  # of the filter that spares documents outside every block
 PART = 1024  # sets of a block that meet in one task
+ELEMENTS = 1 << 19  # elements of them, about
 ANCHORS = 32
 LOW_KEYS = 4  # with which a pair is told apart from its repetitions in other blocks
 
@@ -104,9 +107,9 @@ def _records(base: DataFrame, order: ShingleOrder, k: int, percent: int) -> Data
     """(doc_id, n, two fingerprints of the set, its prefix) of every document."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for ids, texts in _sliced(batches):
             n, one, two, prefix, bits = [], [], [], [], []
-            for _, found in w.texts_with_words(batch.column(1).to_pylist()):
+            for _, found in w.texts_with_words(texts):
                 s = order.elements(found, k)
                 n.append(len(s))
                 mixed = w.mix(s)
@@ -118,7 +121,7 @@ def _records(base: DataFrame, order: ShingleOrder, k: int, percent: int) -> Data
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
             values = pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64())]
+                [ids, pa.array(n, pa.int64())]
                 + [pa.array(w.signed(np.array(x, np.uint64))) for x in (one, two)]
                 + [pa.ListArray.from_arrays(offsets, values), pa.array(bits, pa.binary())],
                 ["doc_id", "n", "fp1", "fp2", "prefix", "bits"],
@@ -127,6 +130,18 @@ def _records(base: DataFrame, order: ShingleOrder, k: int, percent: int) -> Data
     return base.mapInArrow(sketch, "doc_id long, n long, fp1 long, fp2 long, prefix array<long>, bits binary")
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """(column 0, texts of column 1) of slices of rows, so that a batch is never held whole in Python."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        lo = 0
+        while lo < batch.num_rows:
+            start = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, start + w.SLICE_BYTES, "right")))
+            yield batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo).to_pylist()
+            lo = hi
+
+
 def parity_bits(mixed: np.ndarray) -> bytes:
     """One bit for each residue of the elements, odd or even; at least as many bits as elements."""
     size = max(64, 1 << int(len(mixed) - 1).bit_length()) if len(mixed) else 64
@@ -153,7 +168,7 @@ def possible_pairs(bits: list[bytes], n: np.ndarray, percent: int, group: np.nda
 
 def _possible(blocks: DataFrame, percent: int, pairs: bool) -> DataFrame:
     """From blocks (key, part, node, n, component, bits): the nodes of pairs of different components
-    that may link. With ``pairs`` the pairs (a, b, ca, cb) themselves; the column ``low`` then has
+    that may link. With ``pairs`` the pairs (a, b, ca, cb, na) themselves; the column ``low`` then has
     a node's smallest keys, and a pair is left to a smaller key that both have among them."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,19 +187,19 @@ def _possible(blocks: DataFrame, percent: int, pairs: bool) -> DataFrame:
                 i, j = np.array(kept).T
                 flip = node[i] > node[j]
                 i, j = np.where(flip, j, i), np.where(flip, i, j)
-                columns = [node[i], node[j], group[i], group[j]]
+                columns = [node[i], node[j], group[i], group[j], n[i]]
             else:
                 columns = [node[np.unique(np.concatenate([np.append(j, i) for i, j in found]))]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "ca", "cb"] if pairs else ["node"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "ca", "cb", "na"] if pairs else ["node"])
 
     return (
         blocks.repartition("key", "part").sortWithinPartitions("key", "part")
-        .mapInArrow(look, "a long, b long, ca long, cb long" if pairs else "node long")
+        .mapInArrow(look, "a long, b long, ca long, cb long, na long" if pairs else "node long")
     )
 
 
 def _block_keys(nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, key, pos): the blocks of every node.
+    """(node, key, pos, n): the blocks of every node.
 
     Sizes in a ratio of at least ``percent`` are in the same or the next size class. A node takes
     its whole prefix to its own class, and the shorter prefix of a smaller set to the next one.
@@ -192,12 +207,12 @@ def _block_keys(nodes: DataFrame, percent: int) -> DataFrame:
     size_class = F.floor(F.log("n") / F.lit(math.log(100 / percent) * (1 + 1e-9)))
     short = F.expr(f"cast(n - ceil({2 * percent} * n / {100 + percent}) + 1 as int)")
     return (
-        nodes.select("node", size_class.alias("c"), short.alias("short"), F.posexplode("prefix").alias("pos", "token"))
+        nodes.select("node", "n", size_class.alias("c"), short.alias("short"), F.posexplode("prefix").alias("pos", "token"))
         .select(
-            "node", "pos", "token",
+            "node", "pos", "token", "n",
             F.explode(F.when(F.col("pos") < F.col("short"), F.array(F.col("c"), F.col("c") + 1)).otherwise(F.array("c"))).alias("c"),
         )
-        .select("node", "pos", F.xxhash64("token", "c").alias("key"))
+        .select("node", "pos", F.xxhash64("token", "c").alias("key"), "n")
     )
 
 
@@ -219,13 +234,14 @@ def _linked(base: DataFrame, blocks: DataFrame, order: ShingleOrder, k: int, per
     bits = spark.sparkContext.broadcast(_id_filter(blocks))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(2).to_numpy().astype(np.uint64)
-            hit = (bits.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-            ids = batch.column(0).filter(pa.array(hit))
-            out = [order.elements(found, k).tobytes() for _, found in w.texts_with_words(batch.column(1).filter(pa.array(hit)).to_pylist())]
-            if out:
-                yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.binary())], ["node", "elements"])
+        def wanted() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column(2).to_numpy().astype(np.uint64)
+                yield batch.filter(pa.array((bits.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1))
+
+        for ids, texts in _sliced(wanted()):
+            out = [order.elements(found, k).tobytes() for _, found in w.texts_with_words(texts)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.binary())], ["node", "elements"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in w.runs(batches, ["key", "part"]):
@@ -260,25 +276,27 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column:
     classes = records.where("n > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("node"))
     first = records.join(classes, same).where("doc_id = node").select("node", "n", "prefix")
     keys = _block_keys(first, percent)
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = materialise(keys.join(sizes, "key"), "ngram-members")
+    # Parts of a block by its number of sets or of elements, whichever gives more.
+    split = F.greatest(F.ceil(F.count(F.lit(1)) / PART), F.ceil(F.sum("n") / ELEMENTS)).cast("int")
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), split.alias("parts")).where("m > 1")
+    members = materialise(keys.join(sizes, "key").drop("n"), "ngram-members")
     shared = members.select("node").distinct()
     sketches = materialise(
         records.join(shared, records["doc_id"] == shared["node"], "left_semi").select(F.col("doc_id").alias("node"), "n", "bits"), "ngram-bits"
     )
 
-    parts = F.ceil(F.col("m") / PART).cast("int")
-    part = F.expr(f"cast(pmod(xxhash64(node, key), ceil(m / {PART})) as int)")
-    anchor = (F.col("m") > PART) & (F.expr(f"pmod(xxhash64(key, node), ceil(m / {ANCHORS}))") == 0)
+    part = F.expr("cast(pmod(xxhash64(node, key), parts) as int)")
+    # Of a split block about ANCHORS sets, or as many as make up one part.
+    anchor = (F.col("parts") > 1) & (F.expr(f"pmod(xxhash64(key, node), greatest(ceil(m / {ANCHORS}), parts))") == 0)
     one = (
-        members.groupBy("node").agg(F.min_by(F.struct("key", "m"), "pos").alias("b")).select("node", "b.*")
-        .select("node", "key", F.explode(F.when(anchor, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(part))).alias("part"), F.col("node").alias("component"))
+        members.groupBy("node").agg(F.min_by(F.struct("key", "m", "parts"), "pos").alias("b")).select("node", "b.*")
+        .select("node", "key", F.explode(F.when(anchor, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))).alias("part"), F.col("node").alias("component"))
     )
     near = materialise(_possible(one.join(sketches, "node"), percent, pairs=False).distinct(), "ngram-near")
     links = materialise(_linked(base, one.join(near, "node"), order, k, percent), "ngram-links")
 
     found = connected_components(links, "a", "b")
-    known = members.join(found, "node", "left").select("key", "m", "node", F.coalesce("component", "node").alias("component"))
+    known = members.join(found, "node", "left").select("key", "parts", "node", F.coalesce("component", "node").alias("component"))
     mixed = (
         known.groupBy("key").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"),
@@ -286,13 +304,14 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column:
         )
         .where("low < high").groupBy("size", "x1", "x2").agg(F.min("key").alias("key")).select("key")
     )
-    part_pairs = F.expr("transform(sequence(0, cast(ceil(m / {0}) as int) - 1), i -> least(i, p) * cast(ceil(m / {0}) as int) + greatest(i, p))".format(PART))
+    part_pairs = F.expr("transform(sequence(0, parts - 1), i -> least(i, p) * parts + greatest(i, p))")
     blocks = known.join(mixed, "key")
     low = blocks.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LOW_KEYS).alias("low"))
     parted = blocks.withColumn("p", part).select("node", "key", F.explode(part_pairs).alias("part"), "component")
     pairs = materialise(_possible(parted.join(sketches.join(low, "node"), "node"), percent, pairs=True).distinct(), "ngram-pairs")
     # The set of a meets those of all its b; a star of many is split, with a in every part.
-    stars = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")), "a").withColumn("part", F.expr("cast(pmod(xxhash64(b), parts) as int)"))
+    split = F.greatest(F.ceil(F.count(F.lit(1)) / PART), F.ceil(F.count(F.lit(1)) * F.first("na") / ELEMENTS)).cast("int")
+    stars = pairs.join(pairs.groupBy("a").agg(split.alias("parts")), "a").withColumn("part", F.expr("cast(pmod(xxhash64(b), parts) as int)"))
     two = stars.select(F.col("b").alias("node"), F.col("a").alias("key"), "part", F.col("cb").alias("component")).unionByName(
         stars.select(F.col("a").alias("node"), F.col("a").alias("key"), "part", F.col("ca").alias("component")).distinct()
     )

@@ -60,6 +60,8 @@ def empty(spark):
 @pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
 def test_ngram_components(docs, rows, k, percent, monkeypatch):
     monkeypatch.setattr(ngram_join, "PART", 3)  # splits blocks
+    monkeypatch.setattr(ngram_join, "ELEMENTS", 600)
+    monkeypatch.setattr(ngram_join.w, "SLICE_BYTES", 900)
     sets = {i: shingles(t, k) for i, t, *_ in rows if i is not None}
     root = {i: i for i in sets}
 
@@ -84,6 +86,17 @@ def test_ngram_components(docs, rows, k, percent, monkeypatch):
     assert kept == {i for i in sets if find(i) == i} | {None}
 
 
+def test_ngram_components_of_long_texts(spark, empty):
+    """One block of long near copies: with them a part holds a few sets only."""
+    r = random.Random(9)
+    base = [f"v{r.randrange(10**6)}" for _ in range(60_000)]
+    rows = [(i, " ".join(base[:i] + ["x"] + base[i:])) for i in range(40)] + [(100, " ".join(base[: 60_000 // 2])), (101, "y " * 500_000), (102, "Y  " * 400_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in ngram_join.ngram_components(docs, 3, 90).collect()}
+    assert got == {**dict.fromkeys(range(40), 0), 100: 100, 101: 101, 102: 101}
+    assert ngram_join.ngram_components(empty, 3, 90).count() == 0 and ngram_join.keep_first(empty).count() == 0
+
+
 def test_trie_finds_every_component():
     import numpy as np
 
