@@ -131,15 +131,15 @@ def match_reasons(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def similar_names(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of distinct cleaned company names with matching-block ratio of at least 0.9."""
+    """Pairs of distinct cleaned company names with matching-block ratio of at least 0.85."""
     names = _registry(spark, sf).select(clean_company_name(F.col("vendor_name")).alias("name"))
-    return nm.similar_names(names, None, 0.9)
+    return nm.similar_names(names, None, en.NAME_THRESHOLD)
 
 
 @query()
 def resolve_entities(spark: SparkSession, sf: str) -> DataFrame:
     """Vendors merged by tax numbers and similar names."""
-    return en.resolve_entities(_registry(spark, sf), 0.97)
+    return en.resolve_entities(_registry(spark, sf))
 
 
 # ---- graph --------------------------------------------------------------------------------
