@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundlens.llm import words as w
+from fundlens.llm.columns import map_in_arrow
 from fundlens.session import materialise
 
 BINS = 64
@@ -165,7 +166,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, perce
                 keep = [not shared.value.matches(x, percent) for _, x in w.texts_with_words(batch.column(column).to_pylist())]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = map_in_arrow(docs, clean, docs.schema)
         if blocks > 1:
             docs = materialise(docs, "decontaminated")
             shared.unpersist()

@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fundlens.llm.columns import fresh, map_in_arrow, packed, unpacked
 from fundlens.session import materialise
 
 MIN_WORDS = 50
+BLOCK = 256  # later documents that are aligned with one copy of the first one's lines
 
 
 def word_lines(text: str | None) -> Iterator[tuple[int, list[bytes]]]:
@@ -163,9 +165,14 @@ def common_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     one = lines.groupBy("doc_id").agg(F.min_by(F.struct("lines", "counts"), F.xxhash64("lines")).alias("x")).select("doc_id", "x.*")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: list[int] = []
         for batch in batches:
             ids, gone = [], []
-            for doc, a, b, counts in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "first_lines", "lines", "counts"))):
+            # A block begins with the first document, whose doc_id is null here.
+            for doc, b, counts in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "lines", "counts"))):
+                if doc is None:
+                    a = b
+                    continue
                 found = common_blocks(a, b, counts, min_words)
                 if found:
                     ids.append(doc)
@@ -173,10 +180,16 @@ def common_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "gone"])
 
-    both = (
-        pairs.join(one.select(F.col("doc_id").alias("first"), F.col("lines").alias("first_lines")), "first")
-        .join(one, "doc_id").select("doc_id", "first_lines", "lines", "counts")
+    # A first document of very many later ones is sent once to each BLOCK of them.
+    pairs = materialise(pairs, "line-pairs")
+    blocks = pairs.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = pairs.join(blocks, "first").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).drop("blocks")
+    later = dealt.join(one, "doc_id").select("first", "block", "doc_id", "lines", "counts")
+    heads = (
+        blocks.select("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        .join(one.withColumnRenamed("doc_id", "first"), "first").select("first", "block", F.lit(None).cast("long").alias("doc_id"), "lines", "counts")
     )
+    both = heads.unionByName(later).repartition("first", "block").sortWithinPartitions("first", "block", F.asc_nulls_first("doc_id"))
     return both.mapInArrow(align, "doc_id long, gone array<int>").groupBy("doc_id").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")
     )
@@ -188,8 +201,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, report: str | None
     A text that loses all its lines with words becomes empty. ``report`` adds a struct
     (lines, lines_gone, words, words_gone) under that name.
     """
-    found = common_lines(docs, min_words).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
-    joined = docs.join(found, docs["doc_id"] == F.col("__id"), "left").drop("__id")
+    columns = docs.columns
+    if report in columns:
+        raise ValueError(f"docs has a column {report}")
+    found = common_lines(docs, min_words).withColumnRenamed("doc_id", "id")
+    joined = docs.select(packed(docs), F.col("doc_id").cast("long").alias("id")).join(found, "id", "left")
+    joined = joined.select(*unpacked(columns), F.col("gone").alias(fresh(columns, "gone")))
     at = docs.columns.index("text")
     schema = docs.schema if report is None else T.StructType([*docs.schema.fields, T.StructField(report, T.StructType.fromDDL("lines bigint, lines_gone bigint, words bigint, words_gone bigint"))])
 
@@ -217,4 +234,4 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, report: str | None
                 columns.append(pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in zip(*told)] if told else [pa.array([], pa.int64())] * 4, names))
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
 
-    return joined.mapInArrow(delete, schema)
+    return map_in_arrow(joined, delete, schema)

@@ -13,6 +13,8 @@ source that holds most rows is spread over many tasks.
 Cases: a null text has size 0 and is never taken. A null source is a source of its own, the last.
 A null doc_id is a document like others; rows that repeat a doc_id are documents of their own, of
 which equal ones are interchangeable. An empty table gives no rows. Other columns are not read.
+``mixed_documents`` keeps them whatever their names; its own get an underscore behind a name that is
+taken.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fundlens.llm.columns import fresh, packed, unpacked
 from fundlens.session import materialise
 
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL_SHARE = 1.5
 MAX_REPEATS = 2
 SLOTS = 1 << 17  # blocks of the whole mixture
-PARTS = 1024  # of a source's stream
+PARTS = 1024  # of a source's stream, at least
+PART_ROWS = 1 << 16  # documents of a part, about, where a source has more parts
 CHUNK = 4096  # slots
 GOLDEN = 0.6180339887498949
 
@@ -81,7 +85,7 @@ def schedule(spark, needs: list[int], weights: list[float]) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 0, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken) of every row of ``docs``.
+    """(doc_id, size, source, source_size, target, taken, text_hash) of every row of ``docs``.
 
     ``taken`` counts the words that the slots of the schedule take from the document, twice if its
     stream is repeated. The list of sources with their sizes is read by the driver.
@@ -89,11 +93,13 @@ def mix(docs: DataFrame, seed: int = 0, slots: int = SLOTS) -> DataFrame:
     spark = docs.sparkSession
     h = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")), F.lit(seed))
     sized = materialise(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("name"), word_count(F.col("text").cast("string")).alias("size"), h.alias("h"))
-        .withColumn("part", F.pmod(F.shiftright("h", 20), F.lit(PARTS))),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("name"), word_count(F.col("text").cast("string")).alias("size"), h.alias("h"), F.xxhash64("text").alias("text_hash")),
         "mix-sizes",
     )
-    found = sized.groupBy("name").agg(F.sum("size").alias("size")).collect()
+    found = sized.groupBy("name").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
+    # Parts grow in number with the largest source, and not in size.
+    part_count = max(PARTS, 1 << max(0, max((r.rows for r in found), default=0) // PART_ROWS).bit_length())
+    sized = sized.withColumn("part", F.pmod(F.shiftright("h", 20), F.lit(part_count)))
     found.sort(key=lambda r: (r.name is None, (r.name or "").encode()))
     sizes = [r.size for r in found]
     wanted = targets(sizes)
@@ -109,7 +115,7 @@ def mix(docs: DataFrame, seed: int = 0, slots: int = SLOTS) -> DataFrame:
     parts = known.groupBy("source", "part").agg(F.sum("size").alias("n"))
     whole = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("source", "part", F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("source", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "part").orderBy("h", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = materialise(
         known.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["source", "part"])
         .withColumn("at", F.col("start") + F.col("inside")).drop("inside", "start", "part", "h"),
@@ -130,24 +136,20 @@ def mix(docs: DataFrame, seed: int = 0, slots: int = SLOTS) -> DataFrame:
     else:
         taken = pieces.select("source", "at", F.lit(0).cast("long").alias("taken"))
     full = placed.where("size > 0").join(taken, ["source", "at"], "left").unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    return full.select("doc_id", "size", F.col("name").alias("source"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return full.select("doc_id", "size", F.col("name").alias("source"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "text_hash")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 0, slots: int = SLOTS) -> DataFrame:
     """Rows of ``docs`` that the mixture takes from, with size, source_size, target and taken.
 
-    Equal rows are interchangeable, so rows of one (doc_id, source, size) share what was taken from
+    Equal rows are interchangeable, so rows of one doc_id, source and text share what was taken from
     them evenly.
     """
-    shares = mix(docs, seed, slots).groupBy("doc_id", "source", "size").agg(
-        F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.avg("taken").alias("taken")
-    )
-    s = shares.select(*[F.col(c).alias(f"__{c}") for c in shares.columns])
-    size = word_count(F.col("text").cast("string"))
-    joined = docs.withColumn("__n", size).join(
-        s, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size"))
-    )
-    return joined.where("__taken > 0").select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in ("size", "source_size", "target", "taken")],
-        *[F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target", "taken")],
+    shares = mix(docs, seed, slots).groupBy("doc_id", "source", "text_hash").agg(
+        *[F.first(c).alias(c) for c in ("size", "source_size", "target")], F.avg("taken").alias("taken")
+    ).where("taken > 0").withColumnsRenamed({"doc_id": "id", "source": "name"})
+    rows = docs.select(packed(docs), F.col("doc_id").cast("long").alias("own_id"), F.col("source").cast("string").alias("own_name"), F.xxhash64("text").alias("own_hash"))
+    joined = rows.join(
+        shares, F.col("own_id").eqNullSafe(F.col("id")) & F.col("own_name").eqNullSafe(F.col("name")) & (F.col("own_hash") == F.col("text_hash"))
     )
+    return joined.select(*unpacked(docs.columns), *[F.col(c).alias(fresh(docs.columns, c)) for c in ("size", "source_size", "target", "taken")])

@@ -10,7 +10,9 @@ and the next rule is learned on the others.
 Cases: a null text counts as empty; a text without words has all measures 0 and fails the base
 rule. Rows without label or doc_id aren't learned from. Repeated rows count as often as they occur
 for learning and are judged alike. Without bad labels the list is empty and only the base rule
-acts. Names of other columns don't matter, as the measures are kept in one struct.
+acts. Other columns stay, whatever their names; ``into`` must not be one of them. A list has at most
+``MAX_RULES`` rules of ``MAX_CONDITIONS`` conditions, each of which covers ``MIN_COVERED`` bad rows of
+the pruning part with a precision of ``MIN_PRECISION``.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fundlens.llm.columns import named, packed, unpacked
+from fundlens.session import materialise
+
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 # Measures that rules test: (name, expression over the counts, scale of its bins).
@@ -64,9 +69,12 @@ def text_statistics(df: DataFrame, text: str = "text", into: str = "stats") -> D
     A window of three words repeats when another position of the text has the same words; the
     windows are compared as 64-bit hashes by sorting (hash, position).
     """
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    t = F.coalesce(named(text).cast("string"), F.lit(""))
     white = F.lit(WHITE)
-    df = df.select("*", t.alias("__t"), F.btrim(t, white).alias("__s"))
+    columns = df.columns
+    if into in columns:
+        raise ValueError(f"the table has a column {into}")
+    df = df.select(packed(df), t.alias("__t"), F.btrim(t, white).alias("__s"))
     lines = F.filter(F.split("__t", "\n"), lambda x: F.btrim(x, white) != "")
     df = df.select(
         "*", F.when(F.col("__s") != "", F.split("__s", "[\\x20\\x09-\\x0D]+")).otherwise(F.array().cast("array<string>")).alias("__w"),
@@ -102,7 +110,7 @@ def text_statistics(df: DataFrame, text: str = "text", into: str = "stats") -> D
         count(_removed(F.col("__t"), "!?")).alias("n_marks"),
         count(_removed(F.col("__t"), "0123456789")).alias("n_digits"),
     )
-    return df.withColumn(into, stats).drop("__t", "__s", "__w", "__l", "__h", "__p")
+    return df.select(*unpacked(columns), stats.alias(into))
 
 
 def base_failed(stats: str = "stats") -> Column:
@@ -190,9 +198,10 @@ def learn_rules(labelled: DataFrame) -> list[list[Condition]]:
 def labelled_rows(measured: DataFrame, labels: DataFrame) -> DataFrame:
     """(bad, grow, bins) of measured rows (doc_id, bins) with a quality label."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return measured.select("doc_id", "bins").join(known, "doc_id").select(
+    rows = measured.select("doc_id", "bins").join(known, "doc_id").select(
         (F.col("quality") == 0).alias("bad"), F.expr("pmod(xxhash64(doc_id), 3) > 0").alias("grow"), "bins"
     )
+    return materialise(rows, "labelled")  # every condition of every rule reads them
 
 
 def decision(rules: list[list[Condition]], bins: str = "bins") -> Column:

@@ -432,3 +432,80 @@ def test_pipeline(spark):
     # Every stage keeps the columns, also of an empty table.
     for _, stage in STAGES[:-1]:
         assert stage(spark, docs.limit(0), SF).columns == docs.columns
+
+
+def clashing(docs):
+    """``docs`` with columns whose names the operators use inside, or that need quotes."""
+    names = ("stats", "bins", "__t", "__id", "id", "gone", "a.b", "found", "row", "size", "target", "taken", "text_hash", "part", "h")
+    return docs.selectExpr("*", *[f"{n} AS `{name}`" for n, name in enumerate(names)]), names
+
+
+def test_stages_keep_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd, names = clashing(docs)
+    for name, stage in STAGES:
+        plain = {r.doc_id: r.asDict() for r in stage(spark, docs, SF).collect()}
+        out = stage(spark, odd, SF)
+        assert out.columns[: len(odd.columns)] == odd.columns, name
+        rows = out.collect()
+        assert len(rows) == len(plain) > 0
+        for r in rows:
+            want = [plain[r[0]][c] for c in docs.columns] + list(range(len(names)))
+            assert list(r)[: len(want)] == want
+    assert out.columns[len(odd.columns) :] == ["size_", "source_size", "target_", "taken_"]
+
+
+def brute_dedup(rows, min_words=50):
+    """Deleted words of each document by looking at all pairs: each maximal common run of lines."""
+    split = {i: [w for w in (line.lower().split() for line in t.split("\n")) if w] for i, t in rows}
+    gone = {i: set() for i in split}
+    for i in sorted(split):
+        for j in sorted(split):
+            if j < i:
+                a, b = split[j], split[i]
+                for x in range(len(a)):
+                    for y in range(len(b)):
+                        n = 0
+                        while x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n]:
+                            n += 1
+                        if sum(map(len, b[y : y + n])) >= min_words:
+                            gone[i] |= set(range(y, y + n))
+    return {i: [" ".join(w) for y, w in enumerate(split[i]) if y not in gone[i]] for i in split}
+
+
+def test_line_dedup_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK", 3)  # several blocks of later documents
+    r = random.Random(8)
+    line = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(r.choice((8, 20, 60))))
+    passages = [[line() for _ in range(r.randrange(3, 7))] for _ in range(4)]
+    rows = []
+    for i in range(40):
+        text = [line() for _ in range(r.randrange(4))]
+        for p in r.sample(passages, r.randrange(3)):
+            at = r.randrange(len(text) + 1)
+            text[at:at] = p
+        rows.append((i, "\n".join(text)))
+    got = {x.doc_id: [w for w in (" ".join(z.split()) for z in x.text.split("\n")) if w] for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_dedup(rows)
+
+
+def test_mixing_slot_by_slot(spark):
+    """The whole mixture replayed: schedule, streams in order and blocks."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    rows = [(i, " ".join(["w"] * r.randrange(1, 30)), r.choice("abbbc")) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {x.doc_id: x.taken for x in mixing.mix(docs, slots=60).collect()}
+    order = {x.doc_id: x.h for x in docs.select("doc_id", F.xxhash64(F.col("doc_id"), F.lit(0)).alias("h")).collect()}
+    names = sorted({s for *_, s in rows})
+    sizes = [sum(len(t.split()) for _, t, x in rows if x == s) for s in names]
+    takes = [round(t) for t in mixing.targets(sizes)]
+    block = -(-sum(takes) // 60)
+    want = Counter()
+    for s, take in zip(names, takes):
+        stream = [i for i, t, x in sorted(rows, key=lambda d: (((order[d[0]] >> 20) % mixing.PARTS), order[d[0]])) if x == s for _ in t.split()] * 2
+        assert len(stream) >= take
+        for rank in range(-(-take // block)):  # the r-th slot of a source takes its r-th block
+            want.update(stream[rank * block : min((rank + 1) * block, take)])
+    assert {i: n for i, n in out.items() if n} == dict(want)
