@@ -204,7 +204,9 @@ def fingerprint_links(codes: DataFrame, distance: int = 2) -> DataFrame:
         # Each mask of the round before is followed by its own: a row goes to one group of each.
         nexts = F.create_map(*[y for m in fixed for y in (F.lit(signed(m)), F.array(*[F.lit(signed(x)) for x in bit_ranges(m, distance + 1)]))])
         dealt = current.select("fp", "node", "gray", F.explode(nexts[F.col("mask")]).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
-        fixed = [x for m in fixed for x in bit_ranges(m, distance + 1)]
+        if level:  # two rounds may fix the same bits in another order
+            dealt = dealt.distinct()
+        fixed = sorted({x for m in fixed for x in bit_ranges(m, distance + 1)})
         if level < LEVELS - 1:
             large = materialise(dealt.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP), "simhash-large")
             if not large.isEmpty():
