@@ -417,12 +417,12 @@ def milestone_timeline(works: DataFrame) -> DataFrame:
     """Five stages per work with date (where recorded) and completion flag."""
     no_date = F.lit(None).cast("date")
     stages = (
-        (1, "Proposal Received from MP", F.col(RECEIVED), F.lit(True), F.col("mp_name")),
-        (2, "Administrative Approval Granted", F.col(APPROVED), F.lit(True),
-         F.concat(F.col("nodal_district"), F.lit(" District Planning Office"))),
-        (3, "Technical Sanction & Tender Award", no_date, F.lit(True), F.col("implementing_agency_name")),
-        (4, "Ground Civil Work Execution", no_date, F.col("physical_progress_pct") > 20, F.lit(None).cast("string")),
-        (5, "Completion & Asset Handover", no_date, _is("Completed"), F.lit(None).cast("string")),
+        (1, "Proposed", F.col(RECEIVED), F.lit(True), F.col("mp_name")),
+        (2, "Approved", F.col(APPROVED), F.lit(True),
+         F.col("nodal_district")),
+        (3, "Contracted", no_date, F.lit(True), F.col("implementing_agency_name")),
+        (4, "Under construction", no_date, F.col("physical_progress_pct") > 20, F.lit(None).cast("string")),
+        (5, "Finished", no_date, _is("Completed"), F.lit(None).cast("string")),
     )
     rows = [
         F.struct(

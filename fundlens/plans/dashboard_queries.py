@@ -259,9 +259,9 @@ def drawdown_schedule(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(works_sql("""SELECT unique_work_number, stage_no, stage, CASE stage_no WHEN 1 THEN date_of_receipt_of_work_proposal_from_mp WHEN 2 THEN date_of_administrative_approval END AS stage_date,
   CASE WHEN stage_no <= 3 THEN TRUE WHEN stage_no = 4 THEN physical_progress_pct > 20 ELSE work_status = 'Completed' END AS completed,
-  CASE stage_no WHEN 1 THEN mp_name WHEN 2 THEN nodal_district || ' District Planning Office' WHEN 3 THEN implementing_agency_name END AS officer
-FROM works, (VALUES (1, 'Proposal Received from MP'), (2, 'Administrative Approval Granted'), (3, 'Technical Sanction & Tender Award'),
-  (4, 'Ground Civil Work Execution'), (5, 'Completion & Asset Handover')) s(stage_no, stage)"""))
+  CASE stage_no WHEN 1 THEN mp_name WHEN 2 THEN nodal_district WHEN 3 THEN implementing_agency_name END AS officer
+FROM works, (VALUES (1, 'Proposed'), (2, 'Approved'), (3, 'Contracted'),
+  (4, 'Under construction'), (5, 'Finished')) s(stage_no, stage)"""))
 def milestone_timeline(spark: SparkSession, sf: str) -> DataFrame:
     return db.milestone_timeline(
         dt.works(

@@ -272,10 +272,10 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_WORK_TEXT = """'Work ' || unique_work_number || ': ' || work_name || ' in ' || implementing_district || ', ' || state || '. MP: ' || mp_name || ' (' || constituency || '). Category: ' || work_category
-  || '. Sanction Amount: ₹' || format('{:,}', CAST(round_even(CAST(sanction_amount AS DOUBLE), 0) AS BIGINT)) || '. Status: ' || work_status || '. Physical Progress: ' || printf('%.1f', physical_progress_pct)
-  || '%, Financial Progress: ' || printf('%.1f', financial_progress_pct) || '%. Vendor: ' || vendor_name || ' (' || vendor_id || '). Agency: ' || implementing_agency_name
-  || '. Anomaly: ' || CASE WHEN is_anomaly THEN 'Yes — ' || anomaly_type ELSE 'No' END || '.'"""
+_RUPEES = "CAST(round_even(CAST({} AS DOUBLE), 0) AS BIGINT)"
+_WORK_TEXT = f"""concat_ws('; ', 'work=' || unique_work_number, 'title=' || work_name, 'kind=' || work_category, 'district=' || implementing_district, 'state=' || state,
+  'member=' || mp_name, 'seat=' || constituency, 'agency=' || implementing_agency_name, 'vendor=' || vendor_name, 'vendor_id=' || vendor_id, 'rupees=' || {_RUPEES.format("sanction_amount")},
+  'stage=' || work_status, 'built_pct=' || printf('%.1f', physical_progress_pct), 'paid_pct=' || printf('%.1f', financial_progress_pct), CASE WHEN is_anomaly THEN 'flagged=' || anomaly_type END)"""
 
 
 @query(works_sql(f"SELECT 'work:' || unique_work_number AS chunk_id, 'work' AS type, state, {_WORK_TEXT} AS text FROM works"))
@@ -283,29 +283,33 @@ def work_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return rt.work_chunks(dt.works(spark, sf))
 
 
-@query(cm.with_ctes(dt.VENDORS_SQL, dt.MP_MASTER_SQL, dt.PAYMENTS_SQL, body="""SELECT chunk_id, type, text FROM (
-  SELECT 'vendor:' || vendor_id AS chunk_id, 'vendor' AS type, 'Vendor ' || vendor_id || ': ' || vendor_name || ' in ' || state || '. Hub Vendor: ' || CASE WHEN is_hub THEN 'Yes' ELSE 'No' END || '. PAN: N/A, GSTIN: N/A.' AS text FROM vendors
-  UNION ALL SELECT 'mp:' || mp_name, 'mp', 'MP: ' || mp_name || ', Constituency: ' || constituency || ', State: ' || state || ', House: N/A, Party: N/A.' FROM mp_master
-  UNION ALL SELECT 'payment:' || payment_id, 'payment', 'Payment for work ' || unique_work_number || ': ₹' || format('{:,}', CAST(round_even(CAST(payment_amount AS DOUBLE), 0) AS BIGINT)) || ' on ' || CAST(payment_date AS VARCHAR) || '. Type: ' || payment_type || '. Vendor: ' || vendor_id || '.' FROM payments)"""))
+@query(cm.with_ctes(dt.VENDORS_SQL, dt.MP_MASTER_SQL, dt.PAYMENTS_SQL, body=f"""SELECT chunk_id, type, text FROM (
+  SELECT 'vendor:' || vendor_id AS chunk_id, 'vendor' AS type, concat_ws('; ', 'vendor_id=' || vendor_id, 'vendor=' || vendor_name, 'state=' || state, CASE WHEN is_hub THEN 'hub=yes' END) AS text FROM vendors
+  UNION ALL SELECT 'mp:' || mp_name, 'mp', concat_ws('; ', 'member=' || mp_name, 'seat=' || constituency, 'state=' || state) FROM mp_master
+  UNION ALL SELECT 'payment:' || payment_id, 'payment', concat_ws('; ', 'paid_for=' || unique_work_number, 'day=' || payment_date, 'instalment=' || payment_type, 'vendor_id=' || vendor_id, 'rupees=' || {_RUPEES.format("payment_amount")}) FROM payments)"""))
 def master_chunks(spark: SparkSession, sf: str) -> DataFrame:
     parts = rt.vendor_chunks(dt.vendors(spark, sf)).unionByName(rt.mp_chunks(dt.mp_master(spark, sf)))
     return parts.unionByName(rt.payment_chunks(dt.payments(spark, sf), F.col("payment_id"))).drop("state")
 
 
-_CROREF = "'₹' || printf('%.2f', CAST({} AS DOUBLE) / 10000000.0) || ' Crore'"
 _SUMS = "count(*) AS n, sum(sanction_amount) AS amount, count(*) FILTER (is_anomaly) AS anomalies, count(*) FILTER (work_status = 'Stalled') AS stalled"
-_RATE = "printf('%.1f', CAST(anomalies AS DOUBLE) / n * 100) || '%'"
+_RATE = "'flagged_pct=' || printf('%.1f', round_even(CAST(anomalies AS DOUBLE) / n * 100 * 10, 0) / 10)"
 
 
-@query(works_sql(f"""SELECT 'summary:global' AS chunk_id, 'Platform Global Overview: Total works: ' || n || '. Total sanctioned amount: ' || {_CROREF.format('amount')} || ' (₹' || format('{{:,}}', CAST(round_even(CAST(amount AS DOUBLE), 0) AS BIGINT)) || '). Total MPs tracked: '
-  || (SELECT count(*) FROM mp_master) || '. Total vendors: ' || (SELECT count(*) FROM vendors) || ' (Hub vendors: ' || (SELECT count(*) FROM vendors WHERE is_hub) || '). Total anomalous works: ' || anomalies || ' (Anomaly rate: ' || {_RATE} || '). Stalled works: ' || stalled
-  || '. Completed works: ' || completed || '. In-progress works: ' || progress || '. Recommended works: 0.' AS text
+def _group_chunks(scope: str, name: str, column: str, rest: str = "") -> str:
+    return f"""SELECT 'summary:{scope}:' || {column}, concat_ws('; ', 'about={name}', '{name}=' || {column}, 'works=' || n, 'rupees=' || {_RUPEES.format("amount")}, 'stalled=' || stalled, 'flagged=' || anomalies, {_RATE})
+  FROM (SELECT {column}, {_SUMS} FROM works GROUP BY 1 {rest})"""
+
+
+@query(works_sql(f"""SELECT 'summary:global' AS chunk_id, concat_ws('; ', 'about=all works', 'works=' || n, 'rupees=' || {_RUPEES.format("amount")}, 'members=' || (SELECT count(*) FROM mp_master),
+    'vendors=' || (SELECT count(*) FROM vendors), 'hub_vendors=' || (SELECT count(*) FROM vendors WHERE is_hub), 'recommended=0', 'running=' || progress, 'stalled=' || stalled, 'completed=' || completed, 'flagged=' || anomalies, {_RATE}) AS text
 FROM (SELECT {_SUMS}, count(*) FILTER (work_status = 'Completed') AS completed, count(*) FILTER (work_status = 'Work in Progress') AS progress FROM works)
-UNION ALL SELECT 'summary:status', 'Work Status Distribution: ' || string_agg(work_status || ': ' || n, ', ' ORDER BY n DESC, work_status) || '.' FROM (SELECT work_status, count(*) AS n FROM works GROUP BY 1)
-UNION ALL SELECT 'summary:anomaly_types', 'Anomaly Type Breakdown across all works: ' || (SELECT string_agg(anomaly_type || ': ' || k, ', ' ORDER BY k DESC, anomaly_type) FROM (SELECT anomaly_type, count(*) AS k FROM works WHERE is_anomaly GROUP BY 1)) || '. Total anomalous works: ' || anomalies || ' out of ' || n || ' (' || {_RATE} || ').' FROM (SELECT {_SUMS} FROM works)
-UNION ALL SELECT 'summary:state:' || state, 'State: ' || state || ' — Works: ' || n || ', Total Sanctioned: ' || {_CROREF.format('amount')} || ', Anomalies: ' || anomalies || ' (' || {_RATE} || ' rate), Stalled: ' || stalled || '.' FROM (SELECT state, {_SUMS} FROM works GROUP BY 1)
-UNION ALL SELECT 'summary:category:' || work_category, 'Work Category: ' || work_category || ' — Total works: ' || n || ', Total sanctioned: ' || {_CROREF.format('amount')} || '.' FROM (SELECT work_category, {_SUMS} FROM works GROUP BY 1)
-UNION ALL SELECT 'summary:mp:' || mp_name, 'MP: ' || mp_name || ' — Total works: ' || n || ', Total sanctioned: ' || {_CROREF.format('amount')} || ', Anomalies: ' || anomalies || '.' FROM (SELECT mp_name, {_SUMS} FROM works GROUP BY 1 ORDER BY n DESC, mp_name LIMIT 30)""", dt.VENDORS_SQL, dt.MP_MASTER_SQL))
+UNION ALL SELECT 'summary:status', 'about=stages; works=' || string_agg(work_status || ' ' || n, ', ' ORDER BY n DESC, work_status) FROM (SELECT work_status, count(*) AS n FROM works GROUP BY 1)
+UNION ALL SELECT 'summary:anomaly_types', concat_ws('; ', 'about=flags', 'kinds=' || (SELECT string_agg(anomaly_type || ' ' || k, ', ' ORDER BY k DESC, anomaly_type) FROM (SELECT anomaly_type, count(*) AS k FROM works WHERE is_anomaly GROUP BY 1)),
+    'flagged=' || anomalies, 'works=' || n, {_RATE}) FROM (SELECT {_SUMS} FROM works)
+UNION ALL {_group_chunks("state", "state", "state")}
+UNION ALL {_group_chunks("category", "kind", "work_category")}
+UNION ALL {_group_chunks("mp", "member", "mp_name", "ORDER BY n DESC, mp_name LIMIT 30")}""", dt.VENDORS_SQL, dt.MP_MASTER_SQL))
 def summary_chunks(spark: SparkSession, sf: str) -> DataFrame:
     works = dt.works(spark, sf, "state", "work_category", "mp_name", "sanction_amount", "is_anomaly", "anomaly_type", "work_status")
     return rt.summary_chunks(works, dt.vendors(spark, sf), dt.mp_master(spark, sf)).select("chunk_id", "text")
