@@ -194,41 +194,80 @@ def degree_centrality(spark: SparkSession, sf: str) -> DataFrame:
     return en.degree_centrality(_assignments(spark, sf))
 
 
+def _vendor_registry(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as vendors; every fifth is registered under the number of the one before it."""
+    k = F.col("s_suppkey")
+    return dt.table(spark, sf, "supplier").join(dt.vendors(spark, sf).select("vendor_id", "vendor_name"), F.col("s_name") == F.col("vendor_name")).select(
+        "vendor_id", "vendor_name", F.concat(F.lit("PAN"), F.lpad((k - F.when(k % 5 == 0, 1).otherwise(0)).cast("string"), 7, "0")).alias("pan")
+    )
+
+
+_SITTING = "implementing_agency_name || '/' || CAST(date_of_administrative_approval AS VARCHAR)"
+
+
+def _sittings(spark: SparkSession, sf: str) -> DataFrame:
+    """Assignments of resolved vendors; an official is an agency on a day of approvals."""
+    w = dt.works(spark, sf, "unique_work_number", "vendor_id", "implementing_agency_name", "date_of_administrative_approval")
+    sat = w.withColumn("implementing_agency_name", F.concat_ws("/", "implementing_agency_name", F.col("date_of_administrative_approval").cast("string")))
+    v = _vendor_registry(spark, sf)
+    resolved = en.resolve_entities(v, edges=en.exact_id_edges(v))
+    return materialise(en.apply_resolution(en.project_assignments(sat), resolved), "sittings")
+
+
 def _collusion(spark: SparkSession, sf: str):
-    """Assignments, edges and clusters of the audit; edges feed several steps, so they are kept."""
-    assignments = _assignments(spark, sf)
-    edges = materialise(en.cooccurrence_edges(assignments), "edges")
-    members = en.collusion_members(edges)
-    return assignments, edges, members
+    """The audit from resolution on: assignments, strong edges and clusters."""
+    assignments = _sittings(spark, sf)
+    edges = materialise(en.strong_edges(assignments), "edges")
+    return assignments, edges, en.collusion_members(edges)
 
 
-_CLUSTERS = (_EDGES, "links AS (SELECT entity_a AS a, entity_b AS b FROM edges WHERE cooccurrence_score >= 0.7)", """parts AS (
-  SELECT node, min(reached) AS component FROM closure GROUP BY node)""")
-_FLOOD = """closure AS (
+_STRONG = (dt.VENDORS_SQL, f"""registry AS (SELECT vendor_id, s_suppkey - CASE WHEN s_suppkey % 5 = 0 THEN 1 ELSE 0 END AS pan FROM supplier JOIN vendors ON vendor_name = s_name),
+resolved AS (SELECT vendor_id, min(vendor_id) OVER (PARTITION BY pan) AS canonical_id FROM registry),
+share AS (SELECT {_SITTING} AS official, canonical_id AS entity, count(*) AS n FROM works JOIN resolved USING (vendor_id) GROUP BY 1, 2),
+pairs AS (SELECT a.entity AS entity_a, b.entity AS entity_b, count(*) AS shared_officials, CAST(sum(least(a.n, b.n)) AS BIGINT) AS project_count
+  FROM share a JOIN share b ON a.official = b.official AND a.entity < b.entity GROUP BY 1, 2 HAVING sum(least(a.n, b.n)) >= 2),
+p AS (SELECT entity, sum(n) AS p FROM share GROUP BY 1),
+edges AS (SELECT * FROM (SELECT entity_a, entity_b, shared_officials, project_count,
+    round_even(least(1.0, project_count / greatest(CAST(x.p * y.p AS DOUBLE) / ((SELECT sum(n) FROM share) * (SELECT count(DISTINCT official) FROM share)), 0.01)) * 10000, 0) / 10000 AS cooccurrence_score
+  FROM pairs JOIN p x ON x.entity = entity_a JOIN p y ON y.entity = entity_b) WHERE cooccurrence_score >= 0.7)""")
+_CLUSTERS = (*_STRONG, "links AS (SELECT entity_a AS a, entity_b AS b FROM edges)", """closure AS (
   SELECT a AS node, a AS reached FROM links UNION SELECT b, b FROM links
-  UNION SELECT node, CASE WHEN l.a = reached THEN l.b ELSE l.a END FROM closure JOIN links l ON l.a = reached OR l.b = reached)"""
+  UNION SELECT node, CASE WHEN l.a = reached THEN l.b ELSE l.a END FROM closure JOIN links l ON l.a = reached OR l.b = reached)""", """parts AS (
+  SELECT node, min(reached) AS component FROM closure GROUP BY node)""")
 
 
-@query(_recursive(dt.WORKS_SQL, *_CLUSTERS[:2], _FLOOD, _CLUSTERS[2], body="SELECT node AS entity_id, component AS cluster_id FROM parts"))
+@query(works_sql("SELECT * FROM edges", *_STRONG))
+def collusion_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges of the audit, between resolved vendors."""
+    return _collusion(spark, sf)[1]
+
+
+@query(_recursive(dt.WORKS_SQL, *_CLUSTERS, body="SELECT node AS entity_id, component AS cluster_id FROM parts"))
 def collusion_members(spark: SparkSession, sf: str) -> DataFrame:
     return _collusion(spark, sf)[2]
 
 
 _CLUSTER_ROWS = """clusters AS (SELECT component AS cluster_id,
     (SELECT count(*) FROM parts q WHERE q.component = c.component) AS entity_count, count(DISTINCT official) AS official_count, count(DISTINCT entity_a || entity_b) AS edge_count,
-    (SELECT CAST(sum(CAST(cooccurrence_score AS DECIMAL(18,4))) AS DOUBLE) / count(*) FROM edges e JOIN parts r ON r.node = e.entity_a WHERE r.component = c.component AND cooccurrence_score >= 0.7) AS mean
-  FROM (SELECT p.component, e.entity_a, e.entity_b, x.official FROM edges e JOIN parts p ON p.node = e.entity_a JOIN share x ON x.entity = e.entity_a JOIN share y ON y.entity = e.entity_b AND y.official = x.official
-    WHERE cooccurrence_score >= 0.7) c GROUP BY component)"""
+    (SELECT CAST(sum(CAST(cooccurrence_score AS DECIMAL(18,4))) AS DOUBLE) / count(*) FROM edges e JOIN parts r ON r.node = e.entity_a WHERE r.component = c.component) AS mean
+  FROM (SELECT p.component, e.entity_a, e.entity_b, x.official FROM edges e JOIN parts p ON p.node = e.entity_a JOIN share x ON x.entity = e.entity_a JOIN share y ON y.entity = e.entity_b AND y.official = x.official) c GROUP BY component)"""
 
 
-@query(_recursive(dt.WORKS_SQL, *_CLUSTERS[:2], _FLOOD, _CLUSTERS[2], _CLUSTER_ROWS, body="SELECT cluster_id, entity_count, official_count, edge_count, round_even(least(1.0, mean) * 1000, 0) / 1000 AS risk_score FROM clusters"))
+@query(_recursive(dt.WORKS_SQL, *_CLUSTERS, _CLUSTER_ROWS, body="SELECT cluster_id, entity_count, official_count, edge_count, round_even(least(1.0, mean) * 1000, 0) / 1000 AS risk_score FROM clusters"))
 def collusion_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole audit: assignments, edges, components, cluster rows."""
+    """The whole audit: resolution, assignments, edges, components, cluster rows."""
     assignments, edges, members = _collusion(spark, sf)
     return en.collusion_clusters(edges, members, assignments)
 
 
-@query(_recursive(dt.WORKS_SQL, *_CLUSTERS[:2], _FLOOD, _CLUSTERS[2], _CLUSTER_ROWS, body="""SELECT cluster_id, signal_type, severity, printf('Potential collusion cluster: %d vendor entities and %d official(s) co-occur at unusual rates (risk score %.2f).', entity_count, official_count, severity) AS reason
+@query(_recursive(dt.WORKS_SQL, *_CLUSTERS, body="""SELECT component AS cluster_id, printf('Vendors ''%s'' and ''%s'' share %d official(s) across %d project(s) (score: %.2f).', entity_a, entity_b, shared_officials, project_count, cooccurrence_score) AS reason
+FROM edges JOIN parts ON node = entity_a"""))
+def collusion_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    _, edges, members = _collusion(spark, sf)
+    return en.cluster_reasons(edges, members)
+
+
+@query(_recursive(dt.WORKS_SQL, *_CLUSTERS, _CLUSTER_ROWS, body="""SELECT cluster_id, signal_type, severity, printf('Potential collusion cluster: %d vendor entities and %d official(s) co-occur at unusual rates (risk score %.2f).', entity_count, official_count, severity) AS reason
 FROM (SELECT cluster_id, 'COLLUSION_CLUSTER' AS signal_type, round_even(least(1.0, mean) * 1000, 0) / 1000 AS severity, entity_count, official_count FROM clusters)"""))
 def collusion_signals(spark: SparkSession, sf: str) -> DataFrame:
     assignments, edges, members = _collusion(spark, sf)

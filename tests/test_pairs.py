@@ -243,3 +243,27 @@ def test_top_k_vectors(spark, monkeypatch, blocked):
     for name, v in queries:
         order = sorted(chunks, key=lambda x: (-sum(a * b for a, b in zip(v, x[1])), x[0]))
         assert got[name] == [i for i, _ in order[:5]]
+
+
+@pytest.mark.parametrize("min_score,min_shared", [(0.7, 2), (1.0, 2), (0.05, 3)])
+def test_strong_edges(spark, min_score, min_shared):
+    """Entities of very different size, a few officials with most of the work, and small rings."""
+    rng = random.Random(11)
+    rows = [(f"e{int(rng.paretovariate(0.7)) % 60:02d}", f"o{int(rng.paretovariate(0.5)) % 90}") for _ in range(3000)]
+    rows += [(f"r{i}{j}", f"ring{i}") for i in range(5) for j in range(3) for _ in range(4)]
+    df = spark.createDataFrame([(f"p{i}", e, o) for i, (e, o) in enumerate(rows)], "project_id string, entity_id string, official_id string")
+    share, p = collections.Counter(rows), collections.Counter(e for e, _ in rows)
+    by = collections.defaultdict(dict)
+    for (e, o), n in share.items():
+        by[e][o] = n
+    scale = len(rows) * len({o for _, o in rows})
+    want = {}
+    for a in by:
+        for b in by:
+            common = by[a].keys() & by[b].keys() if a < b else ()
+            count = sum(min(by[a][o], by[b][o]) for o in common)
+            score = round(min(1.0, count / max(p[a] * p[b] / scale, 0.01)), 4)
+            if count >= min_shared and score >= min_score:
+                want[a, b] = (len(common), count, score)
+    got = {(r.entity_a, r.entity_b): (r.shared_officials, r.project_count, r.cooccurrence_score) for r in entities.strong_edges(df, min_score, min_shared, rows_per_block=50).collect()}
+    assert got == want and want
