@@ -124,7 +124,7 @@ def _amount_factor(weight: float, overshoot_pct: float) -> Column:
         .when(over > 0, (over / overshoot_pct) * 0.3 * weight)
         .otherwise(F.lit(0.0))
     )
-    over_text = F.format_string("%+.1f%%", over)
+    over_text = F.format_string("%+.1f%%", round_even(over, 1))
     reason = (
         F.when(benchmark.isNull(), "No category benchmark amount; cannot judge the amount.")
         .when(benchmark == 0, "Category benchmark is zero; cannot compute overshoot.")
@@ -181,7 +181,7 @@ def _season_factor(weight: float) -> Column:
 
 def _region_factor(weight: float) -> Column:
     score = F.col("region_risk_score")
-    text = F.format_string("%.2f", score)
+    text = F.format_string("%.2f", round_even(score, 2))
     return _factor(
         "region_risk",
         score,
@@ -267,7 +267,7 @@ def score_signals(scored: DataFrame, key: str) -> DataFrame:
         F.when(
             risky,
             F.concat(
-                F.lit("Pre-sanction risk score is "), F.format_string("%.2f", "overall_score"),
+                F.lit("Pre-sanction risk score is "), F.format_string("%.2f", round_even(F.col("overall_score"), 2)),
                 F.lit(" ("), F.col("risk_level"), F.lit("). Key factors: "), causes,
             ),
         )

@@ -389,14 +389,13 @@ def photo_time_check(spark: SparkSession, sf: str) -> DataFrame:
     return ph.photo_time_check(_photos(spark, sf), w).select("work_id", "taken_on", "time_ok")
 
 
-@query(works_sql(f"""SELECT signal_type, count(*) AS signals, max(severity) AS max_severity FROM (
-  SELECT 'DUPLICATE_PHOTO' AS signal_type, round_even((1.0 - distance / 64.0) * 1000, 0) / 1000 AS severity FROM ({_near_sql(3)})
-  UNION ALL SELECT CASE WHEN km IS NULL THEN 'MISSING_GEOTAG' ELSE 'GEOTAG_MISMATCH' END, CASE WHEN km IS NULL THEN 0.3 ELSE round_even(least(1.0, round_even(km * 1000, 0) / 1000 / 50.0) * 1000, 0) / 1000 END
-  FROM fences WHERE km IS NULL OR km > 1.0) GROUP BY 1""", _PHOTOS, _fingerprint_sql(), _GROUPS))
+@query(works_sql(f"""SELECT image_a || '|' || image_b AS subject_id, 'DUPLICATE_PHOTO' AS signal_type, round_even((1.0 - distance / 64.0) * 1000, 0) / 1000 AS severity, 'Images differ in ' || distance || ' of 64 bits.' AS reason FROM ({_near_sql(10)})
+  UNION ALL SELECT image_id, CASE WHEN km IS NULL THEN 'MISSING_GEOTAG' ELSE 'GEOTAG_MISMATCH' END, CASE WHEN km IS NULL THEN 0.3 ELSE round_even(least(1.0, round_even(km * 1000, 0) / 1000 / 50.0) * 1000, 0) / 1000 END,
+    CASE WHEN km IS NULL THEN 'Image has no GPS data; its location cannot be verified.' ELSE 'Image was taken ' || printf('%.3f', round_even(km * 1000, 0) / 1000) || ' km from the claimed site.' END
+  FROM fences WHERE km IS NULL OR km > 1.0""", _PHOTOS, _fingerprint_sql(), _GROUPS))
 def photo_signals(spark: SparkSession, sf: str) -> DataFrame:
     prints = materialise(_fingerprints(spark, sf), "prints")
-    signals = ph.photo_signals(ph.duplicate_photo_groups(prints, 3), ph.geofence_check(_photos(spark, sf)))
-    return signals.groupBy("signal_type").agg(F.count(F.lit(1)).alias("signals"), F.max("severity").alias("max_severity"))
+    return ph.photo_signals(ph.duplicate_photo_groups(prints), ph.geofence_check(_photos(spark, sf)))
 
 
 @query("""SELECT c_custkey, round_even(CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE -1 END * (c_nationkey + (c_custkey % 60) / 60.0::DOUBLE + (c_custkey % 59) / 3600.0::DOUBLE) * 1000000, 0) / 1000000 AS decimal_degrees FROM customer""")

@@ -15,7 +15,7 @@ SHARED_WORKS = frozenset((
     "alerts_from_works", "latest_alert_state", "audit_rows", "action_notifications", "sla_tiers", "escalation_queue",
     "sla_warnings", "live_counters", "scoped_alerts", "search_alerts", "alert_details", "case_bundles",
     "evidence_counts", "district_alerts", "top_risk_queue", "district_comparison", "photo_time_check", "risk_profiles",
-    "top_risk_works", "work_risk_signals", "score_proposals", "score_factors", "fill_vendor_history", "score_signals",
+    "top_risk_works", "work_risk_signals", "score_proposals", "score_factors", "factor_reasons", "fill_vendor_history", "score_signals",
     "recommendations", "score_by_label", "proposal_alerts", "union_signals", "assess_feedback", "rejected_feedback",
     "feedback_alerts", "sla_monitor_stream", "feedback_stream", "reference_band", "threshold_sweep", "category_benchmarks",
 ))
@@ -61,6 +61,7 @@ def load_all() -> dict[str, Query]:
         ingest_queries,
         network_queries,
         risk_queries,
+        signal_queries,
         stream_queries,
         text_queries,
     )

@@ -48,12 +48,13 @@ def top_risk_works(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(works_sql("""SELECT unique_work_number, 'COST_OVERRUN_ANOMALY' AS signal_type, overrun_severity AS severity FROM scored WHERE s_overrun
-UNION ALL SELECT unique_work_number, 'GHOST_PROJECT_SUSPECT', 0.95 FROM scored WHERE s_ghost
-UNION ALL SELECT unique_work_number, 'WORK_STALLED', 0.7 FROM scored WHERE s_stalled
-UNION ALL SELECT unique_work_number, 'HUB_VENDOR_CONCENTRATION', 0.65 FROM scored WHERE hub""", *cm.profile_ctes()))
+@query(works_sql("""SELECT unique_work_number, 'COST_OVERRUN_ANOMALY' AS signal_type, overrun_severity AS severity,
+  'Sanction amount ' || format('{:,.2f}', CAST(sanction_amount AS DOUBLE)) || ' exceeds benchmark maximum ' || format('{:,.2f}', bound) || ' by more than 50%' AS reason FROM scored WHERE s_overrun
+UNION ALL SELECT unique_work_number, 'GHOST_PROJECT_SUSPECT', 0.95, 'Financial progress is ' || printf('%.0f', round(financial_progress_pct)) || '% but physical completion is only ' || printf('%.0f', round(physical_progress_pct)) || '%' FROM scored WHERE s_ghost
+UNION ALL SELECT unique_work_number, 'WORK_STALLED', 0.7, 'Work is officially flagged as stalled.' FROM scored WHERE s_stalled
+UNION ALL SELECT unique_work_number, 'HUB_VENDOR_CONCENTRATION', 0.65, 'Vendor ' || vendor_id || ' is a high-concentration hub.' FROM scored WHERE hub""", *cm.profile_ctes()))
 def work_risk_signals(spark: SparkSession, sf: str) -> DataFrame:
-    return risk.profile_signals(cm.profiles(spark, sf)).drop("reason")
+    return risk.profile_signals(cm.profiles(spark, sf))
 
 
 @query(works_sql("""SELECT vendor_id, count(*) AS total, CAST(sum(sanction_amount) AS DOUBLE) AS amount,
@@ -155,11 +156,42 @@ def fill_vendor_history(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(works_sql("""SELECT proposal_id, CASE WHEN risk_level = 'INSUFFICIENT_DATA' THEN 'INSUFFICIENT_SCORING_DATA' ELSE 'PRE_SANCTION_RISK' END AS signal_type,
-  CASE WHEN risk_level = 'INSUFFICIENT_DATA' THEN 0.4 ELSE overall_score END AS severity
-FROM scored_proposals WHERE risk_level <> 'LOW'""", *cm.proposal_ctes()))
+def _history_sql(word: str, count: str, concern: float) -> str:
+    rate = f"'Vendor {word} rate is ' || CAST(round_even(CAST({count} AS DOUBLE) / t * 100, 0) AS INTEGER) || '% (' || {count} || ' of ' || t || ' past projects), '"
+    return (
+        f"CASE WHEN t = 0 THEN 'No prior projects on record; {word} history unavailable.' "
+        f"WHEN CAST({count} AS DOUBLE) / t > {concern} THEN {rate} || 'above the {concern * 100:.0f}% concern threshold.' ELSE {rate} || 'within acceptable range.' END"
+    )
+
+
+_LIMITS = sc.DEFAULT_THRESHOLDS
+_OVER = "printf('%+.1f', round_even(over * 10, 0) / 10) || '%'"
+_REGION = "'Region ' || chr(39) || region || chr(39) || ' has {} risk score of ' || printf('%.2f', round_even(region_risk_score * 100, 0) / 100) || '.'"
+_REASONS = f"""reasons AS (
+  SELECT proposal_id, 1 AS pos, 'vendor_delay_history' AS factor_name, c1 AS contribution, {_history_sql("delay", "d", _LIMITS["delay_ratio_concern"])} AS reason FROM scored_proposals
+  UNION ALL SELECT proposal_id, 2, 'vendor_anomaly_history', c2, {_history_sql("anomaly", "a", _LIMITS["anomaly_ratio_concern"])} FROM scored_proposals
+  UNION ALL SELECT proposal_id, 3, 'amount_vs_benchmark', c3, CASE WHEN benchmark IS NULL THEN 'No category benchmark amount; cannot judge the amount.'
+    WHEN over > 20 THEN 'Proposed amount is ' || {_OVER} || ' against the benchmark, above the 20% concern threshold.'
+    WHEN over > 0 THEN 'Proposed amount is ' || {_OVER} || ' against the benchmark, within acceptable range.' ELSE 'Proposed amount is at or below the benchmark (' || {_OVER} || ').' END FROM scored_proposals
+  UNION ALL SELECT proposal_id, 4, 'new_vendor', c4, CASE WHEN t = 0 THEN 'New vendor without prior projects; track record unknown.' ELSE 'Vendor has ' || t || ' prior project(s) on record.' END FROM scored_proposals
+  UNION ALL SELECT proposal_id, 5, 'seasonal_risk', c5, 'Month ' || season_month || CASE WHEN season_month IN (6, 7, 8, 9) THEN ' is in the monsoon season (Jun-Sep).' ELSE ' is outside the monsoon season.' END FROM scored_proposals
+  UNION ALL SELECT proposal_id, 6, 'region_risk', c6, CASE WHEN region_risk_score IS NULL THEN 'No region risk score supplied; factor not evaluated.' WHEN region_risk_score > 0.6 THEN {_REGION.format("an elevated")} ELSE {_REGION.format("a normal")} END FROM scored_proposals)"""
+
+
+@query(works_sql("SELECT proposal_id, factor_name, contribution, reason FROM reasons", *cm.proposal_ctes(), _REASONS))
+def factor_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(spark, sf).select("proposal_id", F.explode("factors").alias("f")).select("proposal_id", "f.factor_name", "f.contribution", "f.reason")
+
+
+@query(works_sql(f"""SELECT proposal_id, CASE WHEN risk_level = 'INSUFFICIENT_DATA' THEN 'INSUFFICIENT_SCORING_DATA' ELSE 'PRE_SANCTION_RISK' END AS signal_type,
+  CASE WHEN risk_level = 'INSUFFICIENT_DATA' THEN 0.4 ELSE overall_score END AS severity,
+  CASE WHEN risk_level = 'INSUFFICIENT_DATA' THEN missing || ' of 6 factors could not be evaluated for lack of data.'
+    ELSE 'Pre-sanction risk score is ' || printf('%.2f', round_even(overall_score * 100, 0) / 100) || ' (' || risk_level || '). Key factors: ' || coalesce(causes, '') END AS reason
+FROM scored_proposals LEFT JOIN (SELECT proposal_id, string_agg(reason, '; ' ORDER BY pos) AS causes FROM (
+  SELECT *, row_number() OVER (PARTITION BY proposal_id ORDER BY pos) AS rn FROM reasons WHERE contribution > {sc.KEY_FACTOR_FROM}) WHERE rn <= 3 GROUP BY 1) USING (proposal_id)
+WHERE risk_level <> 'LOW'""", *cm.proposal_ctes(), _REASONS))
 def score_signals(spark: SparkSession, sf: str) -> DataFrame:
-    return sc.score_signals(_scored(spark, sf), "proposal_id").drop("reason")
+    return sc.score_signals(_scored(spark, sf), "proposal_id")
 
 
 @query(works_sql("""SELECT risk_level, recommendation, count(*) AS proposals FROM (
@@ -342,9 +374,10 @@ def hub_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return hubs.intersect(top)
 
 
-@query(cm.with_ctes(dt.VENDORS_SQL, body="""SELECT vendor_id, CASE WHEN is_hub THEN 0.88 ELSE 0.25 END AS risk_score FROM vendors"""))
+@query(cm.with_ctes(dt.VENDORS_SQL, body="""SELECT vendor_id, CASE WHEN is_hub THEN 0.88 ELSE 0.25 END AS risk_score,
+  CASE WHEN is_hub THEN 'High-concentration hub vendor.' ELSE 'Normal contractor network metrics.' END AS reason FROM vendors"""))
 def vendor_network_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return risk.vendor_network_flags(dt.vendors(spark, sf)).drop("reason")
+    return risk.vendor_network_flags(dt.vendors(spark, sf))
 
 
 @query(works_sql("""SELECT unique_work_number, coalesce(is_hub, FALSE) AS is_hub_vendor FROM works LEFT JOIN vendors USING (vendor_id)""", dt.VENDORS_SQL))

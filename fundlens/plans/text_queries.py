@@ -83,11 +83,40 @@ def rule_triage(spark: SparkSession, sf: str) -> DataFrame:
     return cp.rule_triage(_complaints(spark, sf)).select("id", "urgency", "urgency_score", "is_safety_hazard", "category")
 
 
-@query(works_sql("""SELECT signal_type, count(*) AS signals, min(severity) AS severity FROM (
-  SELECT 'HIGH_URGENCY_COMPLAINT' AS signal_type, 0.9 AS severity FROM triaged WHERE urgency = 'HIGH') GROUP BY 1""", _COMPLAINTS))
-def complaint_signals(spark: SparkSession, sf: str) -> DataFrame:
-    signals = cp.complaint_signals(cp.triage(_complaints(spark, sf)), None)
-    return signals.groupBy("signal_type").agg(F.count(F.lit(1)).alias("signals"), F.min("severity").alias("severity"))
+def _said(spark: SparkSession, sf: str) -> DataFrame:
+    """What people wrote: all documents and the users' turns of all conversations."""
+    turns = dt.table(spark, sf, "conversations").where("role = 'user'")
+    return dt.table(spark, sf, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("id"), "text").unionByName(
+        turns.select(F.concat_ws("-", F.lit("turn"), "conv_id", "turn").alias("id"), "text")
+    )
+
+
+# The other engine's \\b knows ASCII only: the patterns' edges are spelled out.
+_EDGE = "[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]"
+
+
+def _hit(pattern: str) -> str:
+    inner = pattern.removeprefix("\\b").removesuffix("\\b")
+    return f"regexp_matches(text, '(?i)(?:^|{_EDGE}){inner}(?:{_EDGE}|$)')"
+
+
+_SAID = f"""said AS (SELECT 'doc-' || doc_id AS id, text FROM documents UNION ALL SELECT 'turn-' || conv_id || '-' || turn, text FROM conversations WHERE role = 'user'),
+heard AS (SELECT *, CASE WHEN {_hit(cp.HIGH_URGENCY)} THEN 'HIGH' WHEN {_hit(cp.MEDIUM_URGENCY)} THEN 'MEDIUM' ELSE 'LOW' END AS urgency,
+  CASE {' '.join(f"WHEN {_hit(p)} THEN '{name}'" for name, p in cp.CATEGORY_PATTERNS.items())} ELSE 'Other' END AS category,
+  CASE WHEN length(text) > 100 THEN trim(replace(substr(text, 1, 100), chr(10), ' ')) || '…' ELSE trim(replace(text, chr(10), ' ')) END AS summary
+FROM said WHERE trim(text) <> '')"""
+
+
+@query(cm.with_ctes(_SAID, body="SELECT id, urgency, category, summary FROM heard"))
+def triage_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return cp.triage(_said(spark, sf)).select("id", "urgency", "category", "summary")
+
+
+@query(cm.with_ctes(_SAID, body=f"""SELECT id, CASE WHEN h THEN 'HIGH' WHEN m THEN 'MEDIUM' ELSE 'LOW' END AS urgency, CASE WHEN h THEN 1.0 WHEN m THEN 0.5 ELSE 0.1 END AS urgency_score, h AS is_safety_hazard,
+  CASE WHEN h AND (contains(lower(text), 'road') OR contains(lower(text), 'culvert')) THEN 'Road' WHEN h THEN 'Infrastructure' WHEN m AND contains(lower(text), 'water') THEN 'Water Supply' WHEN m THEN 'Infrastructure' ELSE 'Other' END AS category
+FROM (SELECT *, {_RULE_HIGH} AS h, {_RULE_MEDIUM} AS m FROM said WHERE trim(text) <> '')"""))
+def rule_triage_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return cp.rule_triage(_said(spark, sf)).select("id", "urgency", "urgency_score", "is_safety_hazard", "category")
 
 
 # ---- citizen feedback ---------------------------------------------------------------------
@@ -197,6 +226,14 @@ def cluster_similarities(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("WITH RECURSIVE " + ",\n".join((_VECTORS, _COSINES.format(0.6), _DOC_CLUSTERS, _SAID)) + """
+SELECT id AS subject_id, 'HIGH_URGENCY_COMPLAINT' AS signal_type, CAST(0.9 AS DOUBLE) AS severity, 'High-urgency complaint: ' || summary AS reason FROM heard WHERE urgency = 'HIGH'
+UNION ALL SELECT DISTINCT CAST(cluster_id AS VARCHAR), 'DUPLICATE_COMPLAINTS', least(CAST(0.8 AS DOUBLE), CAST(0.3 AS DOUBLE) + CAST(0.1 AS DOUBLE) * size), size || ' near-duplicate complaints.' FROM sized WHERE size > 1""")
+def complaint_signals(spark: SparkSession, sf: str) -> DataFrame:
+    clusters = cp.cluster_complaints(dt.table(spark, sf, "documents"), "doc_id", "text", cp.similarity_threshold(0.4))
+    return cp.complaint_signals(cp.triage(_said(spark, sf)), clusters)
+
+
 # ---- invoices -----------------------------------------------------------------------------
 
 
@@ -229,11 +266,15 @@ def _invoices(spark: SparkSession, sf: str) -> DataFrame:
 _INVOICES = """inv AS (SELECT unique_work_number AS invoice_id, CAST(sanction_amount AS DOUBLE) AS agreed,
     CASE WHEN order_key % 9 <> 0 THEN CASE WHEN order_key % 5 = 0 THEN CAST(sanction_amount * 2 AS DOUBLE) ELSE CAST(sanction_amount AS DOUBLE) END END AS amount,
     CASE WHEN order_key % 6 <> 0 THEN CASE WHEN order_key % 2 = 0 THEN strftime(date_of_administrative_approval, '%d/%m/%Y') ELSE strftime(date_of_administrative_approval, '%d-%b-%Y') END END AS invoice_date,
-    CASE WHEN order_key % 7 <> 0 THEN vendor_name END AS vendor_name, order_key % 2 = 0 AS same_layout FROM works),
+    CASE WHEN order_key % 7 <> 0 THEN vendor_name END AS vendor_name, order_key % 2 = 0 AS same_layout,
+    strftime(date_of_administrative_approval, '%d/%m/%Y') AS sanctioned_date FROM works),
 diffs AS (
-  SELECT invoice_id, 'amount' AS field_name, round_even((amount - agreed) / agreed * 100 * 100, 0) / 100 AS discrepancy FROM inv
-  UNION ALL SELECT invoice_id, 'date', CASE WHEN invoice_date IS NULL THEN NULL WHEN same_layout THEN 0.0 ELSE 1.0 END FROM inv
-  UNION ALL SELECT invoice_id, 'vendor_name', CASE WHEN vendor_name IS NOT NULL THEN 0.0 END FROM inv)"""
+  SELECT invoice_id, 'amount' AS field_name, round_even((amount - agreed) / agreed * 100 * 100, 0) / 100 AS discrepancy,
+    CASE WHEN amount IS NULL THEN 'Amount could not be extracted from the document.' WHEN abs((amount - agreed) / agreed * 100) > 5 THEN 'Amount ' || format('{:,.2f}', amount) || ' differs from sanctioned ' || format('{:,.2f}', agreed) || ' by ' || printf('%+.1f', (amount - agreed) / agreed * 100) || '%.'
+      ELSE 'Amount is within tolerance.' END AS reason FROM inv
+  UNION ALL SELECT invoice_id, 'date', CASE WHEN invoice_date IS NULL THEN NULL WHEN same_layout THEN 0.0 ELSE 1.0 END,
+    CASE WHEN invoice_date IS NULL THEN 'Date could not be extracted from the document.' WHEN same_layout THEN 'Date matches.' ELSE 'Date ' || chr(39) || invoice_date || chr(39) || ' differs from sanctioned ' || chr(39) || sanctioned_date || chr(39) || '.' END FROM inv
+  UNION ALL SELECT invoice_id, 'vendor_name', CASE WHEN vendor_name IS NOT NULL THEN 0.0 END, CASE WHEN vendor_name IS NULL THEN 'Vendor could not be extracted from the document.' ELSE 'Vendor matches.' END FROM inv)"""
 
 
 @query(works_sql("SELECT invoice_id, round_even(amount * 100, 0) / 100 AS amount, invoice_date, vendor_name FROM inv", _INVOICES))
@@ -246,16 +287,16 @@ def parse_invoices(spark: SparkSession, sf: str) -> DataFrame:
 @query(works_sql("SELECT * FROM diffs", _INVOICES))
 def invoice_diffs(spark: SparkSession, sf: str) -> DataFrame:
     return iv.diff_against_sanction(iv.parse_invoice(_invoices(spark, sf)), "invoice_id").select(
-        "invoice_id", "field_name", "discrepancy"
+        "invoice_id", "field_name", "discrepancy", "reason"
     )
 
 
 @query(works_sql("""SELECT invoice_id, CASE WHEN discrepancy IS NULL THEN 'OCR_FIELD_MISSING' WHEN field_name = 'amount' THEN 'AMOUNT_MISMATCH' ELSE upper(field_name) || '_MISMATCH' END AS signal_type,
-  CASE WHEN discrepancy IS NULL THEN 0.3 WHEN field_name = 'amount' THEN round_even(least(1.0, abs(discrepancy) / 100) * 1000, 0) / 1000 ELSE 0.5 END AS severity
+  CASE WHEN discrepancy IS NULL THEN 0.3 WHEN field_name = 'amount' THEN round_even(least(1.0, abs(discrepancy) / 100) * 1000, 0) / 1000 ELSE 0.5 END AS severity, reason
 FROM diffs WHERE discrepancy IS NULL OR (field_name = 'amount' AND abs(discrepancy) > 5) OR (field_name <> 'amount' AND discrepancy = 1)""", _INVOICES))
 def invoice_signals(spark: SparkSession, sf: str) -> DataFrame:
     diffs = iv.diff_against_sanction(iv.parse_invoice(_invoices(spark, sf)), "invoice_id")
-    return iv.invoice_signals(diffs, "invoice_id").drop("reason")
+    return iv.invoice_signals(diffs, "invoice_id")
 
 
 @query(works_sql("SELECT invoice_id, CASE WHEN amount IS NULL THEN 0 ELSE 0.9 END AS amount_confidence, CASE WHEN invoice_date IS NULL THEN 0 ELSE 0.85 END AS date_confidence, CASE WHEN vendor_name IS NULL THEN 0 ELSE 0.8 END AS vendor_confidence FROM inv".replace("amount IS NULL", "invoice_id IN (SELECT unique_work_number FROM works WHERE order_key % 9 = 0)"), _INVOICES))
@@ -429,10 +470,11 @@ def audit_retrieval_answers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(cm.with_ctes(_AUDIT, body="""SELECT conv_id, turn, 'NL_QUERY_WARNING' AS signal_type, CASE WHEN NOT used_fallback AND NOT refusing AND novel <> '' THEN 0.3 ELSE 0.5 END AS severity FROM judged WHERE used_fallback OR novel <> ''"""))
+@query(cm.with_ctes(_AUDIT, body="""SELECT conv_id, turn, 'NL_QUERY_WARNING' AS signal_type, CASE WHEN NOT used_fallback AND NOT refusing AND novel <> '' THEN 0.3 ELSE 0.5 END AS severity,
+  CASE WHEN trim(coalesce(context, '')) = '' THEN 'Data context was empty.' WHEN used_fallback THEN 'Answer was empty.' ELSE 'Answer contains number(s) not found in the supplied data: ' || novel || '.' END AS reason FROM judged WHERE used_fallback OR novel <> ''"""))
 def audit_signals(spark: SparkSession, sf: str) -> DataFrame:
     audited = au.audit_answers(_answers(spark, sf)).withColumn("key", F.struct("conv_id", "turn"))
-    return au.audit_signals(audited, "key").select("key.conv_id", "key.turn", "signal_type", "severity")
+    return au.audit_signals(audited, "key").select("key.conv_id", "key.turn", "signal_type", "severity", "reason")
 
 
 @query(f"SELECT doc_id, array_to_string(list_sort({_NUMS.format('text')}), ' ') AS numbers FROM documents")
