@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fundlens.llm import words as w
@@ -199,23 +199,38 @@ def _possible(blocks: DataFrame, percent: int, pairs: bool) -> DataFrame:
 
 
 def _block_keys(nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, key, pos, n): the blocks of every node.
+    """(node, key, pos): the blocks of every node; the lowest bit of a key is that of its size class.
 
     Sizes in a ratio of at least ``percent`` are in the same or the next size class. A node takes
     its whole prefix to its own class, and the shorter prefix of a smaller set to the next one.
     """
-    size_class = F.floor(F.log("n") / F.lit(math.log(100 / percent) * (1 + 1e-9)))
     short = F.expr(f"cast(n - ceil({2 * percent} * n / {100 + percent}) + 1 as int)")
     return (
-        nodes.select("node", "n", size_class.alias("c"), short.alias("short"), F.posexplode("prefix").alias("pos", "token"))
+        nodes.select("node", _size_class(percent).alias("c"), short.alias("short"), F.posexplode("prefix").alias("pos", "token"))
         .select(
-            "node", "pos", "token", "n",
+            "node", "pos", "token",
             F.explode(F.when(F.col("pos") < F.col("short"), F.array(F.col("c"), F.col("c") + 1)).otherwise(F.array("c"))).alias("c"),
         )
-        .select("node", "pos", F.xxhash64("token", "c").alias("key"), "n")
+        .select("node", "pos", F.xxhash64("token", "c").bitwiseAND(-2).bitwiseOR(F.col("c") % 2).alias("key"))
     )
 
 
+def _size_class(percent: int) -> Column:
+    return F.floor(F.log("n") / F.lit(math.log(100 / percent) * (1 + 1e-9)))
+
+
+def _parts(percent: int) -> Column:
+    """Parts of a block of ``m`` sets, by their number or their elements, whichever gives more.
+
+    A node's block is of its own size class or of the next, which the key tells; so all nodes of a
+    block take the same largest size.
+    """
+    own = _size_class(percent)
+    block = own + F.abs(own % 2 - F.col("key").bitwiseAND(1))
+    largest = F.pow(F.lit(100 / percent * (1 + 1e-6)), block + 1)
+    return F.greatest(F.ceil(F.col("m") / PART), F.ceil(F.col("m") * largest / ELEMENTS)).cast("int")
+
+
 def _id_filter(nodes: DataFrame) -> np.ndarray:
     """A bit for every hash of a node, ``FILTER_BITS`` in all."""
     bit = F.expr(f"pmod(xxhash64(node), {FILTER_BITS})")
@@ -276,10 +291,8 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column:
     classes = records.where("n > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("node"))
     first = records.join(classes, same).where("doc_id = node").select("node", "n", "prefix")
     keys = _block_keys(first, percent)
-    # Parts of a block by its number of sets or of elements, whichever gives more.
-    split = F.greatest(F.ceil(F.count(F.lit(1)) / PART), F.ceil(F.sum("n") / ELEMENTS)).cast("int")
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), split.alias("parts")).where("m > 1")
-    members = materialise(keys.join(sizes, "key").drop("n"), "ngram-members")
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = materialise(keys.join(sizes, "key"), "ngram-members")
     shared = members.select("node").distinct()
     sketches = materialise(
         records.join(shared, records["doc_id"] == shared["node"], "left_semi").select(F.col("doc_id").alias("node"), "n", "bits"), "ngram-bits"
@@ -289,14 +302,15 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column:
     # Of a split block about ANCHORS sets, or as many as make up one part.
     anchor = (F.col("parts") > 1) & (F.expr(f"pmod(xxhash64(key, node), greatest(ceil(m / {ANCHORS}), parts))") == 0)
     one = (
-        members.groupBy("node").agg(F.min_by(F.struct("key", "m", "parts"), "pos").alias("b")).select("node", "b.*")
+        members.groupBy("node").agg(F.min_by(F.struct("key", "m"), "pos").alias("b")).select("node", "b.*")
+        .join(sketches.select("node", "n"), "node").withColumn("parts", _parts(percent))
         .select("node", "key", F.explode(F.when(anchor, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))).alias("part"), F.col("node").alias("component"))
     )
     near = materialise(_possible(one.join(sketches, "node"), percent, pairs=False).distinct(), "ngram-near")
     links = materialise(_linked(base, one.join(near, "node"), order, k, percent), "ngram-links")
 
     found = connected_components(links, "a", "b")
-    known = members.join(found, "node", "left").select("key", "parts", "node", F.coalesce("component", "node").alias("component"))
+    known = members.join(found, "node", "left").select("key", "m", "node", F.coalesce("component", "node").alias("component"))
     mixed = (
         known.groupBy("key").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"),
@@ -307,7 +321,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column:
     part_pairs = F.expr("transform(sequence(0, parts - 1), i -> least(i, p) * parts + greatest(i, p))")
     blocks = known.join(mixed, "key")
     low = blocks.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LOW_KEYS).alias("low"))
-    parted = blocks.withColumn("p", part).select("node", "key", F.explode(part_pairs).alias("part"), "component")
+    parted = blocks.join(sketches.select("node", "n"), "node").withColumn("parts", _parts(percent)).withColumn("p", part).select("node", "key", F.explode(part_pairs).alias("part"), "component")
     pairs = materialise(_possible(parted.join(sketches.join(low, "node"), "node"), percent, pairs=True).distinct(), "ngram-pairs")
     # The set of a meets those of all its b; a star of many is split, with a in every part.
     split = F.greatest(F.ceil(F.count(F.lit(1)) / PART), F.ceil(F.count(F.lit(1)) * F.first("na") / ELEMENTS)).cast("int")
