@@ -14,7 +14,7 @@ from fundlens.operators import validation as va
 from fundlens.operators.pairing import sequential_number
 from fundlens.session import materialise
 from fundlens.sources.readers import ROW_ID, read_raw
-from fundlens.sources.tables import read_version, table_versions, write_quarantine, write_version
+from fundlens.sources.tables import KEY_BUCKET, key_bucket, read_keyed, write_buckets, write_quarantine
 
 _ROW_BITS = 20
 
@@ -59,17 +59,24 @@ def ingest_frame(
 
 
 def merge_works(spark: SparkSession, store: str, valid: DataFrame) -> DataFrame:
-    """Merge valid rows into the stored works as a new version; one row of counts is returned."""
+    """Merge valid rows into the stored works; one row of counts is returned.
+
+    The works lie in buckets of their number. Only buckets with an incoming row are read, merged and
+    written again, so a run's work follows the batch; one that is run again changes nothing more.
+    """
     _, order = row_order()
-    incoming = valid.drop("warnings")
-    if table_versions(spark, store):
-        existing = read_version(spark, store)
-    else:
+    incoming = materialise(valid.drop("warnings").withColumn(KEY_BUCKET, key_bucket(st.KEY)), "incoming-works")
+    existing = read_keyed(spark, store)
+    if existing is None:
+        untouched = 0
         existing = spark.createDataFrame([], incoming.drop(ROW_ID).schema)
-    merged = st.upsert(existing, incoming, order).drop(ROW_ID)
-    kept = materialise(merged, "merged-works")
-    write_version(kept.drop("_origin"), store)
-    return st.upsert_report(kept)
+    else:
+        touched = [r[0] for r in incoming.select(KEY_BUCKET).distinct().collect()]  # KEY_BUCKETS at most
+        untouched = existing.where(~F.col(KEY_BUCKET).isin(touched)).count()  # from the files' footers
+        existing = existing.where(F.col(KEY_BUCKET).isin(touched))
+    merged = materialise(st.upsert(existing, incoming, order).drop(ROW_ID), "merged-works")
+    write_buckets(merged.drop("_origin"), store)
+    return st.upsert_report(merged).withColumn("total_works", F.col("total_works") + untouched)
 
 
 def ingest_file(

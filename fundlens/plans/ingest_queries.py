@@ -199,12 +199,13 @@ def ingest_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _batches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Two thirds of the works as stored; every payment's work as incoming, keys repeating."""
+    """All works as stored and every payment's work as incoming, keys repeating. A third of the stored
+    numbers and half of the incoming ones are of another series, so that rows are kept and added."""
     w = dt.works(spark, sf, "order_key", "unique_work_number", "state", "sanction_amount")
-    existing = w.where("order_key % 3 > 0").withColumn("note", F.lit("old")).drop("order_key")
+    existing = w.withColumns({"note": F.lit("old"), "unique_work_number": F.concat("unique_work_number", F.when(F.col("order_key") % 3 == 0, "/old").otherwise(""))}).drop("order_key")
     line = dt.table(spark, sf, "lineitem")
-    incoming = line.where("l_orderkey % 2 = 0").select(
-        dt.work_number(F.col("l_orderkey")).alias("unique_work_number"),
+    incoming = line.select(
+        F.concat(dt.work_number(F.col("l_orderkey")), F.when(F.col("l_orderkey") % 2 == 1, "/new").otherwise("")).alias("unique_work_number"),
         F.col("l_extendedprice").cast("decimal(18,2)").alias("sanction_amount"),
         F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).alias("state"),
         F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_shipdate", "l_extendedprice").alias("pos"),
@@ -212,12 +213,12 @@ def _batches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return existing, incoming
 
 
-_UPSERT = """incoming AS (SELECT * FROM (SELECT 'W' || lpad(CAST(l_orderkey AS VARCHAR), 8, '0') AS unique_work_number, CAST(l_extendedprice AS DECIMAL(18,2)) AS sanction_amount, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END AS state,
-    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_suppkey DESC, l_partkey DESC, l_shipdate DESC, l_extendedprice DESC) AS rn FROM lineitem WHERE l_orderkey % 2 = 0) WHERE rn = 1),
+_UPSERT = """incoming AS (SELECT * FROM (SELECT 'W' || lpad(CAST(l_orderkey AS VARCHAR), 8, '0') || CASE WHEN l_orderkey % 2 = 1 THEN '/new' ELSE '' END AS unique_work_number, CAST(l_extendedprice AS DECIMAL(18,2)) AS sanction_amount, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END AS state,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_suppkey DESC, l_partkey DESC, l_shipdate DESC, l_extendedprice DESC) AS rn FROM lineitem) WHERE rn = 1),
 merged AS (SELECT coalesce(n.unique_work_number, o.unique_work_number) AS unique_work_number, CASE WHEN n.unique_work_number IS NULL THEN o.state ELSE n.state END AS state,
     CAST(CASE WHEN n.unique_work_number IS NULL THEN o.sanction_amount ELSE n.sanction_amount END AS DOUBLE) AS sanction_amount, o.note,
     CASE WHEN n.unique_work_number IS NULL THEN 'kept' WHEN o.unique_work_number IS NULL THEN 'added' ELSE 'updated' END AS origin
-  FROM (SELECT unique_work_number, state, sanction_amount, 'old' AS note FROM works WHERE order_key % 3 > 0) o FULL JOIN incoming n USING (unique_work_number))"""
+  FROM (SELECT unique_work_number || CASE WHEN order_key % 3 = 0 THEN '/old' ELSE '' END AS unique_work_number, state, sanction_amount, 'old' AS note FROM works) o FULL JOIN incoming n USING (unique_work_number))"""
 
 
 @query(works_sql("SELECT * FROM merged", _UPSERT))

@@ -89,6 +89,6 @@ def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
     messy.write.option("header", True).option("escape", '"').csv(folder)
     schema = ", ".join(f"`{c}` string" for c in messy.columns)
     feeds.ingest_stream(spark, folder, schema, store, scratch_path(spark, "quarantine"), iq.AS_OF)
-    return tb.read_version(spark, store).select(
+    return tb.read_keyed(spark, store).select(
         "unique_work_number", F.col("sanction_amount").cast("double").alias("sanction_amount")
     )

@@ -47,6 +47,31 @@ def read_version(spark: SparkSession, path: str, version: int | None = None) ->
     return spark.read.parquet(f"{path}/version={version or done[-1]}")
 
 
+KEY_BUCKET = "key_bucket"
+KEY_BUCKETS = 64  # of a keyed table; fixed when it is first written
+
+
+def key_bucket(key: str, buckets: int = KEY_BUCKETS):
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def read_keyed(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table kept in buckets of its key, with the column ``KEY_BUCKET``; None before its first write."""
+    fs, hpath = _hadoop_path(spark, path)
+    if not fs.exists(hpath):
+        return None
+    # Buckets written before a column came up lack it.
+    return spark.read.option("mergeSchema", "true").parquet(path)
+
+
+def write_buckets(df: DataFrame, path: str) -> None:
+    """Replace the buckets that occur in ``df`` (with ``KEY_BUCKET``) and leave all others alone."""
+    (
+        df.repartition(KEY_BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(KEY_BUCKET).parquet(path)
+    )
+
+
 def build_or_reuse(
     spark: SparkSession, path: str, build, force_rebuild: bool = False
 ) -> DataFrame:
