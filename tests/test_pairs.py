@@ -209,11 +209,13 @@ def test_clusters_of_copies(spark):
     assert got == [(1, 1, 3), (2, 1, 3), (3, 1, 3)]
 
 
-def test_double_funding(spark):
+@pytest.mark.parametrize("lat,lon", [(18, 73), (-64, 179.996)])
+def test_double_funding(spark, lat, lon):
     rng = random.Random(8)
+    place = lambda: (lat + rng.random() / 100, (lon + rng.random() / 100 + 180) % 360 - 180)
     titles = ["cc road ward five", "cc road ward six", "community hall repair", "school building"]
-    a = [(f"a{i}", rng.choice(titles), 18 + rng.random() / 100, 73 + rng.random() / 100) for i in range(60)]
-    b = [(f"b{i}", rng.choice(titles), "S", 18 + rng.random() / 100, 73 + rng.random() / 100) for i in range(60)]
+    a = [(f"a{i}", rng.choice(titles), *place()) for i in range(60)]
+    b = [(f"b{i}", rng.choice(titles), "S", *place()) for i in range(60)]
     left = spark.createDataFrame(a, "site_id string, title string, lat double, lon double")
     right = spark.createDataFrame(b, "site_id string, title string, scheme string, lat double, lon double")
     got = {(r.work_id, r.other_id) for r in anomalies.double_funding_pairs(left, right, 250, 0.82).collect()}
@@ -225,6 +227,8 @@ def test_double_funding(spark):
 
     want = {(p[0], q[0]) for p in a for q in b if p[1] == q[1] and metres(p, q) <= 250}
     assert want and got == want
+    # Some pairs lie across the date line.
+    assert lon < 170 or any(left_lon * right_lon < 0 for left_lon, right_lon in ((a[int(x[1:])][3], b[int(y[1:])][4]) for x, y in want))
 
 
 @pytest.mark.parametrize("blocked", [False, True])
