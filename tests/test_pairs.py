@@ -177,6 +177,32 @@ def test_near_hashes(spark, limit):
     assert sum(r.image_pairs for r in rows if r.distance) + sum(n * (n + 1) // 2 for n in copies.values()) == len(want)
 
 
+@pytest.mark.parametrize("size", [100, 10**6, 10**8, 10**10])
+@pytest.mark.parametrize("limit", [0, 3, 7, 10])
+def test_near_hashes_by_plan(spark, limit, size):
+    """Plans made for any number of fingerprints find the same pairs."""
+    rng = random.Random(limit)
+    base = [rng.getrandbits(64) for _ in range(8)]
+    prints = sorted({h ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, limit + 2))) for h in base for _ in range(4)} | {0, 1, (1 << 64) - 1})
+    df = spark.createDataFrame([(i, f"{h:016x}") for i, h in enumerate(prints)], "image_id long, phash string")
+    plan = photos.band_plan(size, limit)
+    near = photos.near_hashes(photos.hash_groups(df), limit, plan)
+    got = sorted((r.bits_a % 2**64, r.bits_b % 2**64) for r in near.collect())
+    got = sorted((min(x), max(x)) for x in got)
+    want = [(a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if (a ^ b).bit_count() <= limit]
+    assert got == sorted(want)
+
+
+def test_band_plan_grows_with_rows():
+    """Each fingerprint is compared with a falling share of the others, in bounded rows."""
+    for limit in (3, 7, 10):
+        plans = [photos.band_plan(n, limit) for n in (10**4, 10**6, 10**8, 10**10)]
+        shares = [p.candidate_share() for p in plans]
+        assert shares == sorted(shares, reverse=True) and shares[-1] < shares[0] / 20
+        assert all(max(p.rows()) <= photos.MOST_ROWS for p in plans)
+    assert photos.band_plan(10**9, 3) == photos.BandPlan(6, 3, 0, 0)
+
+
 def test_hash_pairs_example(spark):
     df = spark.createDataFrame([("a", "817a7e2a7e2a7e80"), ("b", "817a7e2a7e2a7e80"), ("c", "12345678abcdef00")], "image_id string, phash string")
     assert [(r.image_a, r.image_b, r.distance) for r in photos.duplicate_photo_pairs(df, 10).collect()] == [("a", "b", 0)]
