@@ -92,6 +92,31 @@ def feedback_alerts(assessed: DataFrame, created_at: Column, sla_hours: int = SL
     )
 
 
+def feedback_notifications(alerts: DataFrame, works: DataFrame) -> DataFrame:
+    """Two notifications per feedback alert: to the district and to the member of its work, where known.
+
+    ``works`` needs ``unique_work_number``, ``nodal_district`` and ``mp_name``. The id follows from
+    the alert, so that a repeated alert doesn't notify twice.
+    """
+    places = works.select(F.col("unique_work_number").alias("work_id"), "nodal_district", "mp_name")
+    to = F.explode(
+        F.array(
+            F.struct(F.lit("DISTRICT").alias("role"), F.col("nodal_district").alias("scope_id")),
+            F.struct(F.lit("MP").alias("role"), F.col("mp_name").alias("scope_id")),
+        )
+    )
+    return (
+        alerts.join(places, "work_id")
+        .select("alert_id", "work_id", "reason", "created_at", to.alias("to"))
+        .where("to.scope_id IS NOT NULL")
+        .select(
+            F.concat_ws("-", F.lit("NTF"), "alert_id", "to.role").alias("notification_id"),
+            "to.role", "to.scope_id", F.lit("NEW_ALERT").alias("type"), "work_id",
+            F.col("reason").alias("message"), "created_at",
+        )
+    )
+
+
 def action_error() -> Column:
     """Why an action may not be applied, NULL when it may."""
     return F.when(

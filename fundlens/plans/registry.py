@@ -18,6 +18,7 @@ SHARED_WORKS = frozenset((
     "top_risk_works", "work_risk_signals", "score_proposals", "score_factors", "factor_reasons", "fill_vendor_history", "score_signals",
     "recommendations", "score_by_label", "proposal_alerts", "union_signals", "assess_feedback", "rejected_feedback",
     "feedback_alerts", "sla_monitor_stream", "feedback_stream", "reference_band", "threshold_sweep", "category_benchmarks",
+    "near_duplicate_works", "near_duplicate_members", "feedback_sinks_stream",
 ))
 
 QueryFn = Callable[[SparkSession, str], DataFrame]

@@ -248,6 +248,29 @@ def duplicate_works(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_NEAR_RUNS = """alike AS (
+  SELECT nodal_district, work_category, trim(regexp_replace(lower(work_name), '[^a-z0-9]+', ' ', 'g')) AS title, sanction_amount, vendor_id, unique_work_number FROM works),
+chained AS (
+  SELECT *, sum(CASE WHEN gap <= 100000 THEN 0 ELSE 1 END) OVER (PARTITION BY nodal_district, work_category, title ORDER BY sanction_amount, unique_work_number) AS run
+  FROM (SELECT *, sanction_amount - lag(sanction_amount) OVER (PARTITION BY nodal_district, work_category, title ORDER BY sanction_amount, unique_work_number) AS gap FROM alike)),
+near AS (
+  SELECT nodal_district, work_category, title, run, count(*) AS works, count(DISTINCT vendor_id) AS vendors, min(unique_work_number) AS first_work,
+    CAST(min(sanction_amount) AS DOUBLE) AS lowest_amount, CAST(max(sanction_amount) AS DOUBLE) AS highest_amount
+  FROM chained GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT vendor_id) >= 2)"""
+_NEAR_COLUMNS = ("nodal_district", "work_category", "work_name", "sanction_amount", "vendor_id", "unique_work_number")
+
+
+@query(works_sql("SELECT nodal_district, work_category, title, works, vendors, first_work, lowest_amount, highest_amount FROM near", _NEAR_RUNS))
+def near_duplicate_works(spark: SparkSession, sf: str) -> DataFrame:
+    return an.near_duplicate_works(dt.works(spark, sf, *_NEAR_COLUMNS))
+
+
+@query(works_sql("""SELECT first_work AS group_id, unique_work_number, vendor_id, CAST(sanction_amount AS DOUBLE) AS amount
+FROM chained JOIN near USING (nodal_district, work_category, title, run)""", _NEAR_RUNS))
+def near_duplicate_members(spark: SparkSession, sf: str) -> DataFrame:
+    return an.near_duplicate_members(dt.works(spark, sf, *_NEAR_COLUMNS))
+
+
 _RUNS = f"""runs AS (
   SELECT *, sum(CASE WHEN gap <= 14 THEN 0 ELSE 1 END) OVER (PARTITION BY vendor_id, nodal_district ORDER BY day, unique_work_number) AS run
   FROM (SELECT unique_work_number, vendor_id, nodal_district, date_of_administrative_approval AS day, sanction_amount,

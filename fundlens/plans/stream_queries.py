@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fundlens.operators import complaints as cp
 from fundlens.plans import common as cm
 from fundlens.plans import ingest_queries as iq
 from fundlens.plans import text_queries as tq
@@ -81,6 +84,41 @@ def feedback_stream(spark: SparkSession, sf: str) -> DataFrame:
     return runner.drain(stream, "feedback")
 
 
+_WORDS = "[" + ", ".join(f"'{w}'" for w in cp.HAZARD_WORDS) + "]"
+_SINKS = f"""raised AS (SELECT 'ALT-CITIZEN-' || feedback_id AS alert_id, a.work_id, nodal_district, mp_name, '[Citizen Ground Report] ' || concat_ws(' ',
+    CASE WHEN gps_mismatch THEN 'Geotag discrepancy: reported ' || printf('%.3f', distance_km) || ' km from the site.' END,
+    CASE WHEN hazard THEN 'Hazard reported: ' || array_to_string(list_filter({_WORDS}, lambda w : contains(lower(feedback_text), w)), ', ') || '.' END) AS reason
+  FROM assessed a JOIN works w ON w.unique_work_number = a.work_id WHERE is_high_risk)"""
+
+
+@query(works_sql("""SELECT 'accepted' AS sink, CAST(feedback_id AS VARCHAR) AS id, work_id, urgency AS detail FROM assessed
+UNION ALL SELECT 'rejects', CAST(feedback_id AS VARCHAR), work_id, CASE WHEN work_id = '' THEN 'work_id is required' WHEN length(trim(feedback_text)) < 10 THEN 'feedback_text is too short' ELSE 'work not found' END
+  FROM feedback WHERE work_id = '' OR length(trim(feedback_text)) < 10 OR work_id LIKE 'X%'
+UNION ALL SELECT 'alerts', alert_id, work_id, reason FROM raised
+UNION ALL SELECT 'notifications', 'NTF-' || alert_id || '-DISTRICT', work_id, nodal_district || ': ' || reason FROM raised
+UNION ALL SELECT 'notifications', 'NTF-' || alert_id || '-MP', work_id, mp_name || ': ' || reason FROM raised""", tq._COMPLAINTS, tq.FEEDBACK_SQL, _SINKS))
+def feedback_sinks_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """All feedback, a file per micro-batch, run into four tables; their rows."""
+    feed = materialise(tq.feedback(spark, sf).repartition(3, "feedback_id"), "feedback-files")
+    works = materialise(dt.works(spark, sf, "unique_work_number", "nodal_district", "mp_name"), "feedback-works")
+    root = scratch_path(spark, "feedback-sinks")
+    path = feed.inputFiles()[0].rsplit("/", 1)[0]
+    feeds.feedback_to_sinks(runner.file_stream(spark, path, 1), works, root, cm.as_of())
+    shown = {
+        "accepted": ("feedback_id", F.col("urgency")),
+        "rejects": ("feedback_id", F.col("reject_reason")),
+        "alerts": ("alert_id", F.col("reason")),
+        "notifications": ("notification_id", F.concat("scope_id", F.lit(": "), "message")),
+    }
+    parts = [
+        spark.read.parquet(f"{root}/{sink}").select(
+            F.lit(sink).alias("sink"), F.col(key).cast("string").alias("id"), "work_id", detail.alias("detail")
+        )
+        for sink, (key, detail) in shown.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(works_sql("SELECT unique_work_number, CAST(amount AS DOUBLE) AS sanction_amount FROM judged WHERE NOT bad", iq._MESSY))
 def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
     """CSV files dropped in a folder, cleaned and merged into a stored table."""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fundlens.operators.alerts import feedback_alerts, feedback_notifications
 from fundlens.operators.complaints import assess_feedback, split_feedback
 from fundlens.plans.ingest import ingest_frame, merge_works
 from fundlens.sources.tables import write_quarantine
@@ -16,6 +17,36 @@ def assessed_stream(feedback: DataFrame, works: DataFrame) -> DataFrame:
     return assess_feedback(split_feedback(feedback, works)[0])
 
 
+FEEDBACK_SINKS = ("accepted", "rejects", "alerts", "notifications")
+
+
+def feedback_to_sinks(
+    feedback: DataFrame, works: DataFrame, root: str, created_at: Column, state: str | None = None
+) -> None:
+    """Run a feedback stream to its ends: a table each of the ``FEEDBACK_SINKS`` under ``root``.
+
+    A micro-batch owns one folder per sink, named by its number, and replaces it, so that a batch
+    that is replayed after a failure changes none of them. Alerts and notifications come from the
+    accepted rows as they were written. ``created_at`` must not depend on the clock: a column of the
+    feed or a constant. Feedback that comes in again in a later batch is a row of its own.
+    """
+    spark = feedback.sparkSession
+
+    def batch(rows: DataFrame, number: int) -> None:
+        def put(frame: DataFrame, sink: str) -> DataFrame:
+            path = f"{root}/{sink}/batch={number}"
+            frame.write.mode("overwrite").parquet(path)
+            return spark.read.schema(frame.schema).parquet(path)
+
+        accepted, rejected = split_feedback(rows, works)
+        put(rejected, "rejects")
+        assessed = put(assess_feedback(accepted), "accepted")
+        alerts = put(feedback_alerts(assessed, created_at), "alerts")
+        put(feedback_notifications(alerts, works), "notifications")
+
+    for_each_batch(feedback, "feedback-sinks", batch, state)
+
+
 def ingest_stream(
     spark: SparkSession,
     folder: str,

@@ -203,6 +203,43 @@ def test_band_plan_grows_with_rows():
     assert photos.band_plan(10**9, 3) == photos.BandPlan(6, 3, 0, 0)
 
 
+def test_near_duplicate_works(spark):
+    """Groups and members equal those of all pairs, connected; amounts lie round the steps' edges."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(900):
+        amount = rng.choice([None, rng.randrange(0, 40) * 100_000 + rng.choice([-1, 0, 1, 49_999]) + rng.choice([0.0, 0.01, 0.99]), float(rng.randrange(0, 4_000_000))])
+        rows.append((f"W{i:03d}", rng.choice(["Pune", "Agra", None]), "Road", rng.choice(["Road  repair", "road-repair", "Well", None]), amount, rng.choice(["V1", "V2", "V3", None])))
+    df = spark.createDataFrame(rows, "unique_work_number string, nodal_district string, work_category string, work_name string, amount double, vendor_id string")
+    df = df.withColumn("sanction_amount", F.col("amount").cast("decimal(18,2)")).drop("amount")
+    for tolerance in (5_000, 20_000):
+        like = collections.defaultdict(list)
+        for number, place, kind, name, amount, vendor in rows:
+            if place and name and amount is not None:
+                like[place, kind, name.lower().replace("  ", " ").replace("-", " ")].append((round(amount * 100), number, vendor))
+        want = {}
+        for key, group in like.items():
+            left = set(group)
+            while left:
+                todo = [left.pop()]
+                part = []
+                while todo:
+                    x = todo.pop()
+                    part.append(x)
+                    near = {y for y in left if abs(x[0] - y[0]) <= tolerance * 100}
+                    left -= near
+                    todo += near
+                if len({v for _, _, v in part} - {None}) >= 2:
+                    want[min(n for _, n, _ in part)] = (key, sorted(n for _, n, _ in part), min(part)[0] / 100, max(part)[0] / 100)
+        groups = {r.first_work: r for r in anomalies.near_duplicate_works(df, tolerance).collect()}
+        assert {k: ((r.nodal_district, r.work_category, r.title), r.works, r.lowest_amount, r.highest_amount) for k, r in groups.items()} == {k: (a, len(m), lo, hi) for k, (a, m, lo, hi) in want.items()}
+        members = collections.defaultdict(list)
+        for r in anomalies.near_duplicate_members(df, tolerance).collect():
+            members[r.group_id].append(r.unique_work_number)
+        assert {k: sorted(v) for k, v in members.items()} == {k: m for k, (_, m, _, _) in want.items()}
+        assert len(want) > 5
+
+
 def test_hash_pairs_example(spark):
     df = spark.createDataFrame([("a", "817a7e2a7e2a7e80"), ("b", "817a7e2a7e2a7e80"), ("c", "12345678abcdef00")], "image_id string, phash string")
     assert [(r.image_a, r.image_b, r.distance) for r in photos.duplicate_photo_pairs(df, 10).collect()] == [("a", "b", 0)]

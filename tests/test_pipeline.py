@@ -1,5 +1,6 @@
 """Files, ingestion, merging and streams."""
 
+import datetime
 import json
 import random
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from fundlens.operators import alerts, store, validation
 from fundlens.plans import ingest
 from fundlens.sources import readers, tables
-from fundlens.streaming import rate_limit, runner
+from fundlens.streaming import feeds, rate_limit, runner
 
 CSV = """Work_Code,State_Name,District,Amount_Rs,Approval_Date,Contractor_Name,Category
 W001,Maharastra,Pune,₹ 25.5 Lakhs,15/04/2023,Sharma Builders,Road
@@ -111,6 +112,38 @@ def test_rate_limit_batch_and_stream(spark, tmp_path):
     assert {r.event_id: r.accepted for r in out.collect()} == want
 
 
+def test_feedback_sinks_survive_a_replay(spark, tmp_path):
+    """A batch that runs again replaces its own rows in every sink."""
+    works = spark.createDataFrame([("W1", "Pune", "Asha"), ("W2", "Pune", None)], "unique_work_number string, nodal_district string, mp_name string")
+    schema = "feedback_id long, work_id string, feedback_text string, latitude double, longitude double, created_at timestamp_ntz"
+    at = datetime.datetime(2024, 1, 1)
+    first = [(1, "W1", "the new road is in use", 18.5204, 73.8567, at), (2, "W1", "DANGER of collapse here", 19.0760, 72.8777, at), (3, None, "no work number given", None, None, at)]
+    second = [(4, "W2", "Danger near the old school", None, None, at), (5, "W9", "this work is not known", None, None, at), (6, "W1", None, None, None, at)]
+    feed, root, state = str(tmp_path / "feed"), str(tmp_path / "sinks"), str(tmp_path / "state")
+    for rows in (first, second):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(feed)
+
+    def run():
+        feeds.feedback_to_sinks(runner.file_stream(spark, feed, 1), works, root, F.col("created_at"), state)
+
+    def seen():
+        return {s: sorted(str(r.asDict()) for r in spark.read.parquet(f"{root}/{s}").collect()) for s in feeds.FEEDBACK_SINKS}
+
+    run()
+    once = seen()
+    assert {s: len(r) for s, r in once.items()} == {"accepted": 3, "rejects": 3, "alerts": 2, "notifications": 3}
+    notes = spark.read.parquet(f"{root}/notifications").collect()
+    assert {(r.notification_id, r.scope_id) for r in notes} == {
+        ("NTF-ALT-CITIZEN-2-DISTRICT", "Pune"), ("NTF-ALT-CITIZEN-2-MP", "Asha"), ("NTF-ALT-CITIZEN-4-DISTRICT", "Pune")}
+    # The commit of the last batch is lost: it is run again.
+    commits = sorted(p for p in (tmp_path / "state" / "commits").iterdir() if p.name.isdigit())
+    for p in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+        if p.exists():
+            p.unlink()
+    run()
+    assert seen() == once
+
+
 def test_scope(spark):
     w = spark.createDataFrame([("W1", "KA", "Mysuru", "Pune", "c1", "Asha Rao")], "unique_work_number string, state string, nodal_district string, implementing_district string, constituency string, mp_name string")
     seen = lambda role, scope: alerts.scoped_works(w, role, scope).count()
