@@ -1,8 +1,10 @@
 """Files, ingestion, merging and streams."""
 
+import collections
 import datetime
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from fundlens.operators import alerts, store, validation
 from fundlens.plans import ingest
 from fundlens.sources import readers, tables
-from fundlens.streaming import feeds, rate_limit, runner
+from fundlens.streaming import feeds, rate_limit, runner, sla
 
 CSV = """Work_Code,State_Name,District,Amount_Rs,Approval_Date,Contractor_Name,Category
 W001,Maharastra,Pune,₹ 25.5 Lakhs,15/04/2023,Sharma Builders,Road
@@ -148,3 +150,41 @@ def test_scope(spark):
     w = spark.createDataFrame([("W1", "KA", "Mysuru", "Pune", "c1", "Asha Rao")], "unique_work_number string, state string, nodal_district string, implementing_district string, constituency string, mp_name string")
     seen = lambda role, scope: alerts.scoped_works(w, role, scope).count()
     assert [seen("MINISTRY", None), seen("STATE", "ka"), seen("DISTRICT", "PUNE"), seen("MP", "asha"), seen("CITIZEN", ""), seen("CITIZEN", "x"), seen("OTHER", None)] == [1, 1, 1, 1, 1, 0, 0]
+
+
+def test_sla_monitor_by_bucket(spark, tmp_path):
+    """Warnings and escalations over several batches; the state has a row per bucket, not per work."""
+    start = datetime.datetime(2024, 1, 1)
+    rng = random.Random(13)
+    feed = []  # per batch: (work, status, deadline, event time)
+    for batch in range(6):
+        now = start + datetime.timedelta(days=batch)
+        rows = [(f"w{rng.randrange(60)}", rng.choice(["OPEN"] * 4 + ["CLOSED"]), now + datetime.timedelta(hours=rng.randrange(96)), now) for _ in range(40)]
+        rows = list({r[0]: r for r in rows}.values())
+        feed.append(rows)
+        frame = spark.createDataFrame([(w, f"A{w}", s, d, t) for w, s, d, t in rows], "work_id string, alert_id string, status string, sla_deadline timestamp_ntz, created_at timestamp_ntz")
+        frame.coalesce(1).write.parquet(f"{tmp_path}/feed/batch={batch}")
+        time.sleep(0.05)  # files are taken in order of their times
+    stream = runner.file_stream(spark, f"{tmp_path}/feed", 1)
+    got = collections.Counter((r.work_id, r.type, r.due_ms) for r in runner.drain(sla.sla_monitor(stream, "created_at", buckets=5), "sla", out=f"{tmp_path}/out").collect())
+
+    want, held = collections.Counter(), {}
+    # A batch sees the watermark of the one before; a last one without rows follows.
+    for batch in range(7):
+        for w, status, due, _ in feed[batch] if batch < 6 else ():
+            if status != "OPEN":
+                held.pop(w, None)
+            elif held.get(w, (0, 0, False))[2] is not True:
+                held[w] = [due, held[w][1] if w in held else False, False]
+        mark = start + datetime.timedelta(days=batch - 1, hours=-1) if batch else datetime.datetime(1970, 1, 1)
+        for w, state in held.items():
+            due, warned, done = state
+            ms = int(due.replace(tzinfo=datetime.timezone.utc).timestamp() * 1000)
+            if not done and not warned and mark >= due - datetime.timedelta(days=1):
+                want[w, "SLA_WARNING", ms] += 1
+                state[1] = True
+            if not done and mark >= due:
+                want[w, "ESCALATED", ms] += 1
+                state[2] = True
+    assert got == want and len({t for _, t, _ in want}) == 2
+    assert spark.read.format("statestore").load(f"{tmp_path}/out-state").count() <= 5
